@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import duplicate_groups
+from .langid import identify
+from .packing import pack
 
 
 def op3_exact_dedup(spark, sf_dir):
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+def op1_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_packing)}
 
 ORACLE = {
     "op3_exact_dedup": """
