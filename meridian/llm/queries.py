@@ -5,7 +5,10 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import duplicate_groups
 from .langid import identify
+from .nearest import nearest
 from .packing import pack
+from .secrets import RULES, find_secrets
+from .warc import round_trip
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -20,7 +23,46 @@ def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_packing)}
+def op5_warc(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest)}
+
+
+def _span_sql() -> str:
+    """Spans of every rule, their positions summed from the gaps between matches and the matches."""
+    ours = {"hex": "[0-9a-f]{32,}"}  # the same rule without Java's possessive mark
+    parts = []
+    for number, rule in enumerate(RULES):
+        pattern = ours.get(rule.kind, rule.pattern).replace("'", "''")
+        parts.append(f"""
+        SELECT k, {number} AS number, '{rule.kind}' AS kind, w, v, g,
+               unnest(range(1, len(w) + 1)) AS i
+        FROM (SELECT k, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {rule.group}) AS v,
+                     regexp_split_to_array(t, '{pattern}') AS g
+              FROM d WHERE regexp_matches(t, '{pattern}')) WHERE true""")
+    least = " ".join(f"WHEN {n} THEN {r.least}" for n, r in enumerate(RULES))
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+        m AS ({" UNION ALL ".join(parts)}),
+        p AS (SELECT k, number, kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS s,
+                     length(w[i]) AS n FROM m WHERE length(v[i]) >= CASE number {least} END),
+        q AS (SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS x FROM p),
+        a AS (SELECT k, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+                     string_agg(x, ',' ORDER BY s, number) FILTER (number < 3) AS base, string_agg(x, ',' ORDER BY s, number) AS spans FROM q GROUP BY k)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a ON d.k = a.k"""
+
 
 ORACLE = {
     "op3_exact_dedup": """
@@ -28,4 +70,20 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op6_secret_scan": _span_sql(),
+    "op8_nearest": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+               (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((get_bit(bits, 5 * i) * 16 + get_bit(bits, 5 * i + 1) * 8 + get_bit(bits, 5 * i + 2) * 4 + get_bit(bits, 5 * i + 3) * 2 + get_bit(bits, 5 * i + 4)) AS INTEGER), 1), '' ORDER BY i)
+                FROM (SELECT CAST(range AS INTEGER) AS i FROM range(32))) AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+        FROM (SELECT *, CAST(unhex(sha1(h)) AS BIT) AS bits FROM g)""",
 }
