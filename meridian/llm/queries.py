@@ -6,6 +6,7 @@ from .common import table
 from .exact_dedup import duplicate_groups
 from .langid import identify
 from .nearest import nearest
+from .ngram_join import near_duplicates
 from .packing import pack
 from .secrets import RULES, find_secrets
 from .warc import round_trip
@@ -19,6 +20,10 @@ def op1_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op8_nearest(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest)}
 
 
 def _span_sql() -> str:
