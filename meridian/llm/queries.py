@@ -8,6 +8,7 @@ from .langid import identify
 from .nearest import nearest
 from .ngram_join import near_duplicates
 from .packing import pack
+from .pieces import Pieces, encode_documents
 from .secrets import RULES, find_secrets
 from .warc import round_trip
 
@@ -40,7 +41,13 @@ def op8_nearest(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest)}
+def op9_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    return encode_documents(table(spark, sf_dir, "documents"), Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest, op9_sentencepiece)}
 
 
 def _span_sql() -> str:
