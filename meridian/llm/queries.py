@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import duplicate_groups
+from .gru import score_documents
 from .langid import identify
 from .nearest import nearest
 from .ngram_join import near_duplicates
@@ -47,7 +48,11 @@ def op9_sentencepiece(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest, op9_sentencepiece)}
+def op10_lm_score(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest, op9_sentencepiece, op10_lm_score)}
 
 
 def _span_sql() -> str:
