@@ -11,6 +11,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .pieces import Pieces, encode_documents
 from .secrets import RULES, find_secrets
+from .substring_dedup import drop_repeats
 from .warc import round_trip
 
 
@@ -38,6 +39,10 @@ def op6_secret_scan(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +57,7 @@ def op10_lm_score(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op8_nearest, op9_sentencepiece, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op7_suffix_dedup, op8_nearest, op9_sentencepiece, op10_lm_score)}
 
 
 def _span_sql() -> str:
