@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import clip
@@ -29,19 +29,16 @@ def _order(nside: int) -> int:
     return nside.bit_length() - 1
 
 
-def _interleave(v: Column) -> Column:
-    """A zero between every two bits."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+def _interleave(v: Column, bits: int) -> Column:
+    """A zero between every two of the lowest bits."""
+    one = F.lit(1).cast("long")
+    return sum((F.shiftleft(F.shiftright(v, i).bitwiseAND(one), 2 * i) for i in range(bits)), F.lit(0).cast("long"))
 
 
-def _squeeze(v: Column) -> Column:
+def _squeeze(v: Column, bits: int) -> Column:
     """Every other bit."""
-    v = v.bitwiseAND(F.lit(0x5555555555555555))
-    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    one = F.lit(1).cast("long")
+    return sum((F.shiftleft(F.shiftright(v, 2 * i).bitwiseAND(one), i) for i in range(bits)), F.lit(0).cast("long"))
 
 
 def healpix(nside: int, ra: Column, dec: Column) -> Column:
@@ -67,24 +64,32 @@ def healpix(nside: int, ra: Column, dec: Column) -> Column:
     cap = [F.when(north, quarter).otherwise(quarter + 8), F.when(north, nside - b - 1).otherwise(a), F.when(north, nside - a - 1).otherwise(b)]
 
     face, x, y = (F.when(F.abs(z) <= 2.0 / 3.0, e).otherwise(c) for e, c in zip(belt, cap, strict=True))
-    return F.shiftleft(face, 2 * bits) + _interleave(x) + F.shiftleft(_interleave(y), 1)
+    return F.shiftleft(face, 2 * bits) + _interleave(x, bits) + F.shiftleft(_interleave(y, bits), 1)
 
 
-def healpix_centre(nside: int, pixel: Column) -> tuple[Column, Column]:
-    """Right ascension and declination of a nested pixel's centre, in degrees."""
+def with_healpix_centre(rows: DataFrame, nside: int, pixel: str, ra: str = "ra", dec: str = "dec") -> DataFrame:
+    """Adds a nested pixel's centre in degrees; the steps are columns of their own, so none is computed twice."""
     bits = _order(nside)
-    within = pixel.bitwiseAND(F.lit(nside * nside - 1).cast("long"))
-    face, x, y = F.shiftright(pixel, 2 * bits), _squeeze(within), _squeeze(F.shiftright(within, 1))
-    band, column = F.floor(face / 4), face % 4
-    ring = (band + 2) * nside - x - y - 1
+    within = F.col(pixel).bitwiseAND(F.lit(nside * nside - 1).cast("long"))
+    names = rows.columns
+    rows = rows.withColumns({"f_": F.shiftright(pixel, 2 * bits), "x_": _squeeze(within, bits), "y_": _squeeze(F.shiftright(within, 1), bits)})
+    rows = rows.withColumn("ring_", (F.floor(F.col("f_") / 4) + 2) * nside - F.col("x_") - F.col("y_") - 1)
+    ring = F.col("ring_")
+    cap = (ring < nside) | (ring > 3 * nside)
+    rows = rows.withColumns({
+        "size_": F.when(ring < nside, ring).when(ring > 3 * nside, 4 * nside - ring).otherwise(F.lit(nside)),
+        "shift_": F.when(cap, F.lit(0)).otherwise(F.pmod(ring - nside, F.lit(2))),
+    })
+    size, square = F.col("size_"), 3.0 * nside**2
     # face columns start at odd eighths of a turn in the caps and at even ones in the belt
-    start = 2 * column + F.when(band == 1, 0).otherwise(1)
-    size = F.when(ring < nside, ring).when(ring > 3 * nside, 4 * nside - ring).otherwise(F.lit(nside))
-    z = F.when(ring < nside, 1 - size * size / (3.0 * nside**2)).when(ring > 3 * nside, size * size / (3.0 * nside**2) - 1).otherwise((2 * nside - ring) * (2.0 / (3 * nside)))
-    shift = F.when((ring < nside) | (ring > 3 * nside), F.lit(0)).otherwise(F.pmod(ring - nside, F.lit(2)))
-    step = F.floor((start * size + x - y + 1 + shift) / 2)
-    step = F.when(step > 4 * nside, step - 4 * nside).when(step < 1, step + 4 * nside).otherwise(step)
-    return F.degrees((step - (shift + 1) * 0.5) * (math.pi / 2) / size), F.degrees(F.asin(clip(z, -1, 1)))
+    start = 2 * (F.col("f_") % 4) + F.when(F.floor(F.col("f_") / 4) == 1, 0).otherwise(1)
+    rows = rows.withColumns({
+        "z_": F.when(ring < nside, 1 - size * size / square).when(ring > 3 * nside, size * size / square - 1).otherwise((2 * nside - ring) * (2.0 / (3 * nside))),
+        "step_": F.floor((start * size + F.col("x_") - F.col("y_") + 1 + F.col("shift_")) / 2),
+    })
+    step = F.when(F.col("step_") < 1, F.col("step_") + 4 * nside).when(F.col("step_") > 4 * nside, F.col("step_") - 4 * nside).otherwise(F.col("step_"))
+    phi = F.degrees((step - (F.col("shift_") + 1) * 0.5) * (math.pi / 2) / size)
+    return rows.select(*names, phi.alias(ra), F.degrees(F.asin(clip(F.col("z_"), -1, 1))).alias(dec))
 
 
 def cell(ra: Column, dec: Column, degrees: float) -> tuple[Column, Column]:
