@@ -31,7 +31,9 @@ def query(name: str, uses: str = "", sql: str | None = None, doubles: str = ""):
         if sql is not None:
             body, ctes = sql.strip(), duckdb_ctes(uses.split())
             if ctes:
-                body = f"WITH {ctes}, {body[4:].strip()}" if body[:5].upper().startswith("WITH") else f"WITH {ctes} {body}"
+                recursive = "RECURSIVE " if body[4:].lstrip().upper().startswith("RECURSIVE") else ""
+                rest = body[4:].strip().removeprefix(recursive)
+                body = f"WITH {recursive}{ctes}, {rest}" if body[:4].upper() == "WITH" else f"WITH {ctes} {body}"
             if doubles:
                 body = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}' for c in doubles.split())}) FROM ({body})"
             ORACLE[name] = body
