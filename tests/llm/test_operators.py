@@ -1,0 +1,353 @@
+"""Corpus operators on small odd tables and against brute force."""
+
+import hashlib
+import io
+import itertools
+import re
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from meridian.llm import exact_dedup, gru, langid, nearest, ngram_join, packing, pieces, secrets, substring_dedup, warc
+from meridian.llm.suffixes import suffix_order
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, maybe boolean"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice(list("abcdeé"), rng.integers(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Nulls, empty and short texts, ties, repeated rows, near copies, one hot text and columns with clashing names."""
+    rng = np.random.default_rng(1)
+    base = [words(rng, 150) for _ in range(6)]
+    texts = [None, "", " \n\t", "One", "one two", "a b c d e", "A B C D E", "日本 語 テキスト", "12 34 !", *base]
+    for b in base:
+        w = b.split()
+        w[3] = "changed"
+        texts += [" ".join(w), b.upper(), base[0] + "\n" + b[:300]]
+    texts += ["hot text " * 40] * 40
+    out = [(i, t, ["en", "fr", None][i % 3], "s", 0, "x", None) for i, t in enumerate(texts)]
+    return [*out, (None, base[1], "en", None, None, None, True), (5, "a b c d e", "en", "s", 0, "x", None), (None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def test_empty_tables(empty):
+    for out in (exact_dedup.duplicate_groups(empty), exact_dedup.drop_duplicates(empty), langid.identify(empty), langid.keep_identified(empty), packing.pack(empty), ngram_join.near_duplicates(empty), secrets.find_secrets(empty), secrets.redact(empty), substring_dedup.drop_repeats(empty), gru.score_documents(empty)):
+        assert out.count() == 0
+
+
+def test_exact_dedup(docs, rows):
+    got = exact_dedup.duplicate_groups(docs).toPandas()
+    assert len(got) == len(rows)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    for r in got.itertuples():
+        mine = next(v for t, v in groups.items() if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)
+        ids = [i for i in mine if i is not None]
+        assert r.group_size == len(mine) and r.keep_id == max(ids)
+    assert got.kept.sum() == len(groups)
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_ngram_join(docs, rows):
+    sets = [shingles(r[1]) for r in rows]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    node = [("id", r[0]) if r[0] is not None else ("row", i) for i, r in enumerate(rows)]
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            parent[find(node[i])] = find(node[j])
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            root = find(node[i])
+            least[root] = min(least.get(root, 1 << 60), r[0])
+    want = Counter((r[0], len(sets[i]), least.get(find(node[i]))) for i, r in enumerate(rows))
+    got = ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_ngram_join_dense_group(spark, monkeypatch):
+    """A group of near copies whose links form chains: later rounds must find what the first row does not link."""
+    monkeypatch.setattr(ngram_join, "LARGE", 4)
+    rng = np.random.default_rng(2)
+    base, out = words(rng, 100).split(), []
+    for i in range(40):
+        w = list(base)
+        for k in range(5 + i % 3):
+            w[(i * 7 + k * 13) % 100] = f"x{i}y{k}"
+        out.append((i, " ".join(w), "en", "s", 0, "x", None))
+    test_ngram_join(spark.createDataFrame(out, SCHEMA), out)
+
+
+def test_secrets_spans_and_redaction(spark, docs, rows):
+    text = 'x PASSWORD="abcdefgh1" y token: short AKIAABCDEFGHIJKL1 é ' + "0123456789abcdef" * 2 + " secret=AKIAABCDEFGHIJKLMN"
+    one = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "api_key = 'zzzzzzzzzz'")], "doc_id long, text string")
+    got = secrets.find_secrets(one).collect()
+    assert len(got) == 4
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    want = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+    assert [r.spans for r in got if r.doc_id == 1] == [want, want]
+    clean = {r.doc_id: r.text for r in secrets.redact(one).collect()}
+    assert clean[2] is None and "AKIA" not in clean[1] and clean[1].startswith("x [assign]") and clean[None] == "[assign]'"
+    assert secrets.redact(docs).columns == docs.columns and secrets.find_secrets(docs).count() == len(rows)
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [["aki", "kia"]]
+    assert secrets.trigram_query(r"[0-9a-f]{32,}+") is None
+    assert ["api", "key", "pi_", "_ke", "i_k"] and any("i_k" in clause for clause in secrets.trigram_query(r"api_?key"))
+
+
+def test_packing(docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    got = packing.pack(docs).toPandas()
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.length.sum() <= 1024 and (s.offset.to_numpy() == np.r_[0, s.length.cumsum()[:-1]]).all()
+    want = Counter()
+    for r in rows:
+        ids = np.array([*reference.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        want.update((r[0], a, zlib.crc32(ids[4 * a : 4 * (a + 1024)]), len(ids) // 4) for a in range(0, len(ids) // 4, 1024))
+    have = Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.start, r.ids_crc32, r.doc_tokens) for r in got.itertuples())
+    assert have == want
+
+
+@pytest.mark.parametrize("text", ["", " ", "a  b", "\n\n x \t y", "don't stop  it's", "é ü <|endoftext|> z", "x\n y", "tail "])
+def test_word_cache_equals_tokenizer(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    e = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_first_fit_decreasing():
+    rng = np.random.default_rng(4)
+    sizes = sorted(rng.integers(1, 100, 200).tolist(), reverse=True)
+    tree, bins = packing.TournamentTree(200, 100), []
+    for n in sizes:
+        at = next((i for i, b in enumerate(bins) if b >= n), len(bins))
+        bins += [100] * (at == len(bins))
+        assert tree.place(n) == (at, bins[at])
+        bins[at] -= n
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/ü b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "x\ny", ""), (None, "u", "<p>é</p>"), (5, "u", "x" * 3000), (5, "u", "x" * 3000)]
+    got = Counter(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
+
+    def digest(s):
+        import base64
+
+        return base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+
+    p, e, x = "<p>é</p>", "", "x" * 3000
+    want = [(1, 9, digest(p), "revisit", 2), (2, 9, digest(p), "response", None), (3, 0, digest(e), "revisit", 4), (4, 0, digest(e), "response", None), (None, 9, digest(p), "revisit", 2)]
+    assert got == Counter([*want, (5, 3000, digest(x), "response", None), (5, 3000, digest(x), "response", None)])
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_zip_directory():
+    class Reader(io.BytesIO):
+        def read_at(self, n, at):
+            self.seek(at)
+            return self.read(n)
+
+    f = Reader()
+    with zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
+        with z.open("a", "w", force_zip64=True) as m:
+            m.write(b"hello")
+        z.writestr("b", b"world!")
+    members = warc.central_directory(f, len(f.getvalue()))
+    assert {k: f.read_at(n, at) for k, (_, at, n) in members.items()} == {"a": b"hello", "b": b"world!"}
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(1)
+    for t in range(120):
+        x = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60)).astype(np.int16)
+        x = np.tile(x[: max(1, len(x) // 4)], 5) if t % 3 == 0 else x
+        cap = int(rng.integers(1, 40))
+        order, shared = suffix_order(x, cap, most=int(rng.integers(1, 50)))
+        b = x.tolist()
+        assert sorted(order.tolist()) == list(range(len(b)))
+        for i in range(1, len(b)):
+            p, q = b[order[i - 1] :], b[order[i] :]
+            n = next((k for k, (u, v) in enumerate(zip(p, q)) if u != v), min(len(p), len(q)))
+            assert p[:cap] <= q[:cap] and (shared[i] == min(n, cap) or n == min(len(p), len(q)))
+
+
+def test_substring_dedup(docs, rows):
+    texts = [(r[1] or "").encode() for r in rows]
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = Counter()
+    for r, t in zip(rows, texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want[(r[0], len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) > 0).sum()), hashlib.sha256(kept).hexdigest())] += 1
+    assert Counter(map(tuple, substring_dedup.drop_repeats(docs).collect())) == want
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[7] = x[9]
+    bad = [(400, None), (None, x[0].tolist()), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] * 16), (404, [])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "vec_id long, embedding array<float>")
+    got = nearest.nearest(df, query_block=4, row_block=64).toPandas()
+    s = x.astype(float) @ x.astype(float).T
+    for q in range(0, 300, 20):
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-round(s[q, i], 9), i))[:20]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
+    assert set(got.query_id) == set(range(0, 300, 20))
+
+
+def test_pieces():
+    import public_tokenizers
+
+    model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    number = {model.names[i]: i for i in model.ids}
+    for text in ["", " ", "hello world", "  a  b", "日本語 テキスト 😀x\n\n y ", "naïve café\tx"]:
+        ids = np.frombuffer(model.encode([text])[0], "<u4")
+        assert model.decode(ids) == text
+        s = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+        best = [0.0] + [-1e18] * len(s)
+        for j in range(1, len(s) + 1):
+            for i in range(j):
+                cost = model.scores[number[s[i:j]]] if s[i:j] in number else model.unknown if j == i + 1 else -1e18
+                best[j] = max(best[j], best[i] + cost)
+        is_byte = (ids >= model.first_byte) & (ids < model.first_byte + 256)
+        lead = sum(((int(i) - model.first_byte) & 0xC0) != 0x80 for i in ids[is_byte])
+        assert np.isclose(model.scores[ids[~is_byte]].sum() + lead * model.unknown, best[-1])
+
+
+def test_language_id_held_out(spark):
+    rng = np.random.default_rng(8)
+    kinds = {"aa": "abcde ", "bb": "bdfgh ", "cc": "xyzab "}
+    rows = [(i, "".join(rng.choice(list(kinds[k]), 80)), k) for i, k in enumerate(sorted(kinds) * 60)]
+    rows += [(1000, None, "aa"), (1001, "123 !", "bb"), (None, "abcde abc", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    truth = {r[0]: r[2] for r in rows}
+    held = got[got.held_out & (got.doc_id < 1000)]
+    assert len(got) == len(rows) and len(held) > 10 and np.mean([truth[r.doc_id] == r.lang_pred for r in held.itertuples()]) > 0.95
+    assert set(got[got.doc_id.isin([1000, 1001])].lang_pred) == {"und"} and got.score.between(0, 1).all()
+
+
+def test_ppm_code_lengths_are_exact():
+    grams = pd.DataFrame({"gram": [0x000061, 0x006162, 0x616261], "lang": [0, 0, 0], "n": [1, 1, 1]})
+    trees = langid.ContextTrees(grams, ["x"], 2)
+    bits = trees.code_lengths([b"ab", b"c"])
+    assert np.isclose(bits[0, 0], 2 * -np.log2(1 / 2))  # every context has one successor seen once
+    assert np.isclose(bits[1, 0], 1 + 1 - np.log2(2 / 5) + 8)  # three escapes, then a uniform byte
+
+
+def test_lm_base_score(docs, rows):
+    got = gru.score_documents(docs).toPandas()
+    counts, n_docs = Counter(), 0
+    for r in rows:
+        if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10:
+            counts.update(WORD.findall((r[1] or "").translate({c: c + 32 for c in range(65, 91)})))
+            n_docs += 1
+    counts["</s> "] = n_docs
+    total, kinds = sum(counts.values()), len(counts)
+    want = sorted(sum(np.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in [*WORD.findall((r[1] or "").translate({c: c + 32 for c in range(65, 91)})), "</s> "]) for r in rows)
+    assert np.allclose(sorted(got.base_score), want) and set(got.train_tokens) == {total} and np.isfinite(got.score).all() and (got.score < 0).all()
+
+
+def test_gru_gradients_and_windows():
+    rng = np.random.default_rng(0)
+    model = gru.GatedModel(70)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y, h = rng.integers(0, 70, (3, 5)), rng.integers(0, 70, (3, 5)), np.zeros((3, gru.HIDDEN))
+
+    def loss():
+        s, out = h, []
+        for t in range(5):
+            s = model.step(x[:, t], s)[0]
+            out.append(s)
+        return -model.output(np.concatenate(out), y.T.ravel()).mean()
+
+    grad, _ = model._window(x, y, h)
+    for name in ("U", "b", "C", "W"):
+        at = tuple(rng.integers(0, n) for n in model.p[name].shape)
+        if name == "W":
+            at = (int(y[0, 0]) // gru.IN_CLASS, 1, 2)
+        model.p[name][at] += 1e-5
+        up = loss()
+        model.p[name][at] -= 2e-5
+        slope = (up - loss()) / 2e-5
+        model.p[name][at] += 1e-5
+        assert np.isclose(slope, grad[name][at], rtol=1e-3, atol=1e-8)
+    texts = [rng.integers(0, 70, n) for n in (1, 7, 30, 3)]
+    assert np.allclose(model.log_likelihoods(texts, 4), model.log_likelihoods(texts, 64), atol=1e-6)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, docs = docs, stage(spark, docs, folder)
+        assert docs.columns == before.columns
+    kept = docs.filter(F.col("doc_id").isNotNull()).toPandas()
+    all_docs = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+    texts = all_docs.groupby("text").doc_id.max()
+    sets = {i: shingles(t) for t, i in texts.items()}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(sets, 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    assert set(kept.doc_id) == {find(i) for i in sets}
