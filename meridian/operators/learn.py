@@ -18,3 +18,137 @@ def nearest_centroid(train: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     near = near.withColumn("probability", share / F.sum(share).over(Window.partitionBy(key)))
     best = Window.partitionBy(key).orderBy(F.round("dist", 9), "predicted")
     return near.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r", "x", "centre")
+
+
+def robust_scaler(rows: DataFrame, key: str, clip_at: float = 8.0) -> DataFrame:
+    """Array ``x`` scaled per dimension: median imputed, over 1.4826 MAD (deviation where that is 0), clipped."""
+    long = rows.select(key, F.posexplode("x").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    middle = long.groupBy("i").agg(F.median("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    spread = long.join(middle, "i").groupBy("i").agg(F.first("m").alias("m"), F.first("sd").alias("sd"), (1.4826 * F.median(F.abs(F.col("v") - F.col("m")))).alias("mad"))
+    width = F.when(F.col("mad") > 1e-12, F.col("mad")).when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
+    # one row per dimension: a fixed, small size
+    fit = spread.agg(F.array_sort(F.collect_list(F.struct("i", "m", width.alias("w")))).alias("fit"))
+    bound = F.lit(float(clip_at))
+    scaled = F.zip_with("x", "fit", lambda v, f: F.least(F.greatest((F.coalesce(v.cast("double"), f["m"]) - f["m"]) / f["w"], -bound), bound))
+    return rows.join(F.broadcast(fit)).withColumn("scaled", scaled).drop("fit")
+
+
+def _vectors(rows: DataFrame, column: str = "x") -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
+
+
+def principal_components(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
+    """Rows with ``components`` and the variance shares."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    data = _vectors(rows)
+    model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
+    return model.transform(data).withColumn("components", vector_to_array("pc")).drop("features", "pc"), model.explainedVariance.toArray().tolist()
+
+
+def reconstruction_score(rows: DataFrame, k: int) -> DataFrame:
+    """Root-mean-square error of a linear autoencoder over its median: distance left outside the first k components."""
+    mean = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
+    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean"))
+    centred = rows.join(F.broadcast(mean)).withColumn("x", F.zip_with("x", "mean", lambda a, b: a.cast("double") - b)).drop("mean")
+    scored, _ = principal_components(centred, k)
+
+    def square(c):
+        return F.aggregate(F.transform(c, lambda v: v * v), F.lit(0.0), lambda s, v: s + v)
+
+    error = F.sqrt(F.greatest(square("x") - square("components"), F.lit(0.0)) / F.size("x"))
+    scored = scored.withColumn("error", error).drop("components")
+    return scored.join(F.broadcast(scored.agg(F.median("error").alias("median_error")))).withColumn("score", F.col("error") / F.col("median_error"))
+
+
+def kmeans(rows: DataFrame, k: int, seeds: int = 4) -> DataFrame:
+    """Rows with ``cluster``: best of several k-means|| starts by training cost."""
+    from pyspark.ml.clustering import KMeans
+
+    data = _vectors(rows)
+    models = [KMeans(k=k, seed=s, maxIter=30).fit(data) for s in range(seeds)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
+
+
+def neighbours(rows: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
+    """(key, other, rank, dist): k nearest by Euclidean distance. Blocks of rows meet as tiles; each keeps k per row."""
+    import numpy as np
+    import pandas as pd
+
+    n = -(-rows.count() // block) or 1
+    a = rows.select(F.col(key).alias("id"), F.col("x").cast("array<double>").alias("x")).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)))
+    left = a.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    right = rows.select(F.col(key).alias("other"), F.col("x").cast("array<double>").alias("y")).withColumn("j", F.pmod(F.xxhash64("other"), F.lit(n))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+    def tile(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame({"id": [], "other": [], "dist": []})
+        x, y = np.stack(p["x"].to_numpy()), np.stack(q["y"].to_numpy())
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+        d[p["id"].to_numpy()[:, None] == q["other"].to_numpy()] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"id": np.repeat(p["id"].to_numpy(), near.shape[1]), "other": q["other"].to_numpy()[near.ravel()], "dist": np.take_along_axis(d, near, 1).ravel()})
+        return out[np.isfinite(out["dist"])]
+
+    tiles = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "id long, other long, dist double")
+    order = Window.partitionBy("id").orderBy(F.round("dist", 9), "other")
+    return tiles.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "other", "rank", "dist")
+
+
+def novelty(near: DataFrame, key: str) -> DataFrame:
+    return near.groupBy(key).agg(F.avg("dist").alias("novelty"))
+
+
+def retrieval_purity(near: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Mean share of neighbours with the row's own label, against the chance sum of squared shares."""
+    own, other = labels.select(key, F.col("label").alias("mine")), labels.select(F.col(key).alias("other"), F.col("label").alias("theirs"))
+    hit = near.join(own, key).join(other, "other").agg(F.avg((F.col("mine") == F.col("theirs")).cast("double")).alias("purity"))
+    share = labels.groupBy("label").count().agg((F.sum(F.col("count") * F.col("count")) / (F.sum("count") * F.sum("count"))).alias("chance"))
+    return hit.join(share)
+
+
+def dbscan(rows: DataFrame, key: str, eps: float, min_samples: int, k: int) -> DataFrame:
+    """Cluster per row, -1 for noise; rows need at most ``k`` neighbours within eps to be looked at exactly."""
+    from .rounds import components, cut
+
+    near = cut(neighbours(rows, key, k).filter(F.col("dist") <= eps).select(F.col(key).alias("a"), F.col("other").alias("b")))
+    core = cut(near.groupBy("a").count().filter(F.col("count") + 1 >= min_samples).select(F.col("a").alias("id")))
+    inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
+    cluster = cut(components(inner, core))
+    border = near.join(cluster.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("reached"))
+    out = rows.select(F.col(key).alias("id")).join(cluster, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("component", "reached", F.lit(-1)).alias("cluster"))
+
+
+def isotonic(rows: DataFrame) -> DataFrame:
+    """Calibrated (score -> probability) step function, applied to the rows (score, y)."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    model = IsotonicRegression(labelCol="y", featuresCol="score").fit(rows.withColumn("y", F.col("y").cast("double")))
+    return model.transform(rows.withColumn("y", F.col("y").cast("double"))).withColumn("calibrated", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("prediction")
+
+
+def platt(rows: DataFrame, rounds: int = 30) -> tuple[float, float]:
+    """Slope and offset of a logistic map on log-odds: Newton steps on smoothed targets, each one aggregation."""
+    import math
+
+    from ..functions.columns import log_odds
+
+    n1, n0 = rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    hi, lo = (n1 + 1) / (n1 + 2), 1 / (n0 + 2)
+    data = rows.select(log_odds(F.col("score")).alias("f"), F.when(F.col("y") == 1, hi).otherwise(lo).alias("t"))
+    a, b = 0.0, math.log((n1 + 1) / (n0 + 1))
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(a * F.col("f") + b)))
+        w, d = p * (1 - p), p - F.col("t")
+        g1, g2, h11, h12, h22 = data.agg(F.sum(d * F.col("f")), F.sum(d), F.sum(w * F.col("f") ** 2), F.sum(w * F.col("f")), F.sum(w)).first()
+        det = (h11 + 1e-9) * (h22 + 1e-9) - h12 * h12
+        da, db = ((h22 + 1e-9) * g1 - h12 * g2) / det, ((h11 + 1e-9) * g2 - h12 * g1) / det
+        a, b = a - da, b - db
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return a, b
