@@ -125,3 +125,14 @@ def apertures(sources: DataFrame, pixels: DataFrame, key: str, radius: float, si
     near = near.withColumn("w", weight).filter("w > 0")
     flux = F.sum(F.col("w") * F.col("value"))
     return near.groupBy("source_id", key).agg(flux.alias("flux"), F.sum("w").alias("area"), F.sqrt(F.sum(F.col("w") * F.col("rms") * F.col("rms")) + F.greatest(flux, F.lit(0.0))).alias("flux_err"))
+
+
+def hold_one_out(pixels: DataFrame) -> DataFrame:
+    """Each pixel against the median of the other epochs: one list per sky pixel, no loop over epochs."""
+    lists = pixels.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("value", "epoch"))).alias("all"))
+    rows = pixels.join(lists, ["y", "x"])
+    others = F.filter("all", lambda p: p["epoch"] != F.col("epoch"))
+    rows = rows.withColumn("others", F.transform(others, lambda p: p["value"]))
+    n = F.size("others")
+    middle = (F.element_at("others", F.floor((n + 1) / 2).cast("int")) + F.element_at("others", F.floor(n / 2).cast("int") + 1)) / 2
+    return rows.withColumn("residual", F.col("value") - F.when(n > 0, middle)).drop("all", "others")
