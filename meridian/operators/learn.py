@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +78,6 @@ def kmeans(rows: DataFrame, k: int, seeds: int = 4) -> DataFrame:
 
 def neighbours(rows: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
     """(key, other, rank, dist): k nearest by Euclidean distance. Blocks of rows meet as tiles; each keeps k per row."""
-    import numpy as np
-    import pandas as pd
-
     n = -(-rows.count() // block) or 1
     a = rows.select(F.col(key).alias("id"), F.col("x").cast("array<double>").alias("x")).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)))
     left = a.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
@@ -152,3 +151,68 @@ def platt(rows: DataFrame, rounds: int = 30) -> tuple[float, float]:
         if abs(da) + abs(db) < 1e-9:
             break
     return a, b
+
+
+def mahalanobis(rows: DataFrame, key: str, columns: list[str], ridge: float = 1e-6) -> DataFrame:
+    """Distance from the medians under the inverse covariance; the few moments come from one aggregation."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    got = rows.agg(*[F.median(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_samp(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    k = len(columns)
+    cov = np.zeros((k, k))
+    for (a, b), value in zip(pairs, got[k:], strict=True):
+        cov[columns.index(a), columns.index(b)] = cov[columns.index(b), columns.index(a)] = value or 0.0
+    inverse = np.linalg.pinv(cov + ridge * np.eye(k))
+    away = [F.col(c) - float(m or 0.0) for c, m in zip(columns, got[:k], strict=True)]
+    square = sum((float(inverse[i, j]) * away[i] * away[j] for i in range(k) for j in range(k)), F.lit(0.0))
+    return rows.select(key, F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
+
+
+def isolation_forest(rows: DataFrame, key: str, trees: int = 64, sample: int = 256, seed: int = 0) -> DataFrame:
+    """Anomaly score 2^(-mean depth / c(n)). Trees grow apart on hashed samples of about ``sample`` rows; the forest, of bounded size, is broadcast."""
+    n = max(1, rows.count())
+    share = min(1.0, sample / n)
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    picked = rows.select("x", F.col(key).alias("id"), tree).filter(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+
+    def path(n: float) -> float:
+        return 0.0 if n <= 1 else 2 * (np.log(max(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        x, out = np.stack(part["x"].to_numpy()).astype(float), []
+        rng, limit = np.random.default_rng(seed + int(part["tree"].iat[0])), int(np.ceil(np.log2(max(2, len(x)))))
+        stack, made = [(0, np.arange(len(x)), 0)], 1
+        while stack:
+            node, at, depth = stack.pop()
+            spread = np.ptp(x[at], axis=0)
+            if depth >= limit or len(at) <= 1 or not spread.any():
+                out.append((node, -1, depth + path(len(at)), -1, -1))
+                continue
+            dim = rng.choice(np.flatnonzero(spread))
+            cut_at = rng.uniform(x[at, dim].min(), x[at, dim].max())
+            low = x[at, dim] < cut_at
+            out.append((node, int(dim), float(cut_at), made, made + 1))
+            stack += [(made, at[low], depth + 1), (made + 1, at[~low], depth + 1)]
+            made += 2
+        return pd.DataFrame(out, columns=["node", "dim", "value", "left", "right"]).assign(tree=part["tree"].iat[0])
+
+    forest = picked.groupBy("tree").applyInPandas(grow, "node int, dim int, value double, left int, right int, tree int").toPandas()
+    built = [t.sort_values("node").to_numpy()[:, 1:5] for _, t in forest.groupby("tree")]
+    shared = rows.sparkSession.sparkContext.broadcast((built, path(min(sample, n))))
+
+    @F.pandas_udf("double")
+    def score(xs: pd.Series) -> pd.Series:
+        forest, usual = shared.value
+        x, total = np.stack(xs.to_numpy()).astype(float), np.zeros(len(xs))
+        for t in forest:
+            at = np.zeros(len(x), int)
+            while True:
+                inner = t[at, 0] >= 0
+                if not inner.any():
+                    break
+                go = np.flatnonzero(inner)
+                here = t[at[go]]
+                at[go] = np.where(x[go, here[:, 0].astype(int)] < here[:, 1], here[:, 2], here[:, 3]).astype(int)
+            total += t[at, 1]
+        return pd.Series(2 ** (-total / max(1, len(forest)) / max(usual, 1e-9)))
+
+    return rows.select(key, score("x").alias("score"))
