@@ -216,3 +216,19 @@ def isolation_forest(rows: DataFrame, key: str, trees: int = 64, sample: int = 2
         return pd.Series(2 ** (-total / max(1, len(forest)) / max(usual, 1e-9)))
 
     return rows.select(key, score("x").alias("score"))
+
+
+def ensemble(scores: list[DataFrame], key: str) -> DataFrame:
+    """Mean over detectors of the logistic of each score's robust z; ``scores`` are (key, score) tables."""
+    from functools import reduce
+
+    parts = []
+    for i, s in enumerate(scores):
+        middle = s.agg(F.median("score").alias("m"))
+        s = s.join(F.broadcast(middle)).withColumn("away", F.abs(F.col("score") - F.col("m")))
+        spread = s.agg((1.4826 * F.median("away")).alias("w"))
+        z = (F.col("score") - F.col("m")) / F.greatest("w", F.lit(1e-9))
+        parts.append(s.join(F.broadcast(spread)).select(key, (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0))))).alias(f"s{i}")))
+    rows = reduce(lambda a, b: a.join(b, key), parts)
+    total = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(len(parts))])
+    return rows.withColumn("score", total / len(parts))

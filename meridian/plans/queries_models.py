@@ -41,3 +41,30 @@ def _(v):
     noisy = noisy.withColumn("frame", F.col("epoch") * 100 + F.col("replicate"))
     g = P.gini(noisy, "frame").withColumn("epoch", F.floor(F.col("frame") / 100))
     return g.groupBy("epoch").agg(F.avg("gini").alias("mean"), F.stddev_samp("gini").alias("error"))
+
+
+def _ensemble(v):
+    x = v.embeddings.select("vec_id", F.col("embedding").alias("x"))
+    near = learn.novelty(learn.neighbours(x, "vec_id", 8), "vec_id").withColumnRenamed("novelty", "score")
+    return learn.ensemble([near, learn.reconstruction_score(x, 8).select("vec_id", "score"), learn.isolation_forest(x, "vec_id")], "vec_id")
+
+
+@query("model12_anomaly_ensemble")
+def _(v):
+    return _ensemble(v).select("vec_id", "score")
+
+
+@query("top04_anomalies")
+def _(v):
+    return _ensemble(v).orderBy(F.round("score", 9).desc(), "vec_id").limit(20)
+
+
+@query("model30_variability_search")
+def _(v):
+    from ..operators import lightcurve as L
+
+    scored = L.variability(v.detections, "object_truth", ["mjd", "detection_id"]).withColumn("score", L.variability_score())
+    worth = v.detections.join(scored.filter("score > 0.35 AND n_epochs >= 6").select("object_truth"), "object_truth", "left_semi")
+    period = L.periods(worth, "object_truth", n_frequencies=500).select("object_truth", "period", "false_alarm_probability")
+    out = scored.join(period, "object_truth", "left")
+    return out.select("object_truth", "score", "period", "false_alarm_probability", (F.col("score") > 0.5).alias("variable"), F.coalesce(F.col("false_alarm_probability") < 0.01, F.lit(False)).alias("periodic"))
