@@ -60,12 +60,12 @@ def _(v):
     return v.sources.withColumn("sep", sep).filter("sep <= 200").orderBy("sep", "source_id").limit(1).select("source_id", "sep")
 
 
-@query("join09_hosts", "sources", """WITH c AS (SELECT source_id, x, y FROM sources WHERE source_id % 50 = 0), h AS (SELECT source_id AS host_id, x AS hx, y AS hy, greatest(semi_major, 1) AS size FROM sources WHERE (class = 'galaxy' OR area_pixels > 25)),
+@query("join09_hosts", "sources", """WITH c AS (SELECT source_id, x, y FROM sources WHERE class <> 'galaxy' AND area_pixels <= 25), h AS (SELECT source_id AS host_id, x AS hx, y AS hy, greatest(semi_major, 1) AS size FROM sources WHERE (class = 'galaxy' OR area_pixels > 25)),
 p AS (SELECT c.source_id, host_id, sqrt(pow(x - hx, 2) + pow(y - hy, 2)) AS offset_px, size FROM c JOIN h ON abs(x - hx) <= 25 AND abs(y - hy) <= 25),
 b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(offset_px / size, 9), host_id) AS r FROM p WHERE offset_px <= 25)
 SELECT c.source_id, host_id, offset_px, CASE WHEN host_id IS NULL THEN 'hostless' WHEN offset_px < 1.5 THEN 'nuclear' ELSE '' END AS flag FROM c LEFT JOIN b ON c.source_id = b.source_id AND r = 1""", "offset_px")
 def _(v):
-    c = v.sources.filter("source_id % 50 = 0").select(F.col("source_id").alias("id"), "x", "y")
+    c = v.sources.filter("class <> 'galaxy' AND area_pixels <= 25").select(F.col("source_id").alias("id"), "x", "y")
     hosts = v.sources.filter("class = 'galaxy' OR area_pixels > 25")
     return linking.hosts(c, hosts.select(F.col("source_id").alias("id"), "x", "y", "semi_major"), 25.0).withColumnRenamed("id", "source_id")
 
@@ -94,14 +94,14 @@ def _(v):
     return match.globally_best(over.select("a_id", "b_id", F.round("iou", 9).alias("iou")), "iou")
 
 
-@query("join15_catalog_comparison", "sources", """WITH t AS (SELECT source_id, x + 0.5 AS x, y AS y, flux * 1.1 AS flux FROM sources WHERE source_id % 3 <> 0),
+@query("join15_catalog_comparison", "sources", """WITH t AS (SELECT source_id, x + 0.5 AS x, y AS y, flux * 1.1 AS flux FROM sources WHERE flux >= 50),
 p AS (SELECT a.source_id AS a_id, b.source_id AS b_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS sep, a.flux / b.flux AS ratio FROM sources a JOIN t b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY round(sep, 9), b_id) AS i, row_number() OVER (PARTITION BY b_id ORDER BY round(sep, 9), a_id) AS j FROM p WHERE sep <= 2),
 m AS (SELECT * FROM r WHERE i = 1 AND j = 1)
 SELECT count(*) AS matched, median(sep) AS median_offset, median(ratio) AS ratio, (SELECT count(*) FROM sources) - count(*) AS only_ours, (SELECT count(*) FROM t) - count(*) AS only_theirs FROM m""", "median_offset ratio")
 def _(v):
     a = v.sources.select(F.col("source_id").alias("id"), "x", "y", "flux")
-    b = v.sources.filter("source_id % 3 <> 0").select(F.col("source_id").alias("id"), (F.col("x") + 0.5).alias("x"), "y", (F.col("flux") * 1.1).alias("flux"))
+    b = v.sources.filter("flux >= 50").select(F.col("source_id").alias("id"), (F.col("x") + 0.5).alias("x"), "y", (F.col("flux") * 1.1).alias("flux"))
     return linking.compare(a, b, 2.0)
 
 
@@ -165,10 +165,10 @@ def _(v):
     return linking.merge_epochs(v.epoch_detections, 3.0)
 
 
-@query("agg07_nearest_neighbours", "sources", """WITH s AS (SELECT source_id, x, y FROM sources WHERE source_id % 5 = 0), n AS (SELECT a.source_id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM s a JOIN s b ON a.source_id <> b.source_id GROUP BY a.source_id)
+@query("agg07_nearest_neighbours", "sources", """WITH s AS (SELECT source_id, x, y FROM sources), n AS (SELECT a.source_id, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM s a JOIN s b ON a.source_id <> b.source_id GROUP BY a.source_id)
 SELECT avg(d) AS mean_nn, median(d) AS median_nn FROM n""", "mean_nn median_nn")
 def _(v):
-    return linking.neighbour_statistics(v.sources.filter("source_id % 5 = 0").select(F.col("source_id").alias("id"), "x", "y"), 64.0)
+    return linking.neighbour_statistics(v.sources.select(F.col("source_id").alias("id"), "x", "y"), 64.0)
 
 
 @query("agg08_pair_counts", "sources", """WITH s AS (SELECT source_id, x, y FROM sources), p AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM s a JOIN s b ON a.source_id < b.source_id AND abs(a.x - b.x) <= 32 AND abs(a.y - b.y) <= 32)
