@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pixels import clipped_statistics
+from .pixels import clipped_statistics, reflect
 
 
 def background_mesh(pixels: DataFrame, frame: str, box: int) -> DataFrame:
@@ -21,9 +21,9 @@ def background_mesh(pixels: DataFrame, frame: str, box: int) -> DataFrame:
     return mesh.select(frame, "by", "bx", "noise").join(level, [frame, "by", "bx"])
 
 
-def background(pixels: DataFrame, frame: str, box: int, ny: int, nx: int) -> DataFrame:
-    """(frame, y, x, level): the mesh, bilinear between box centres; a missing box takes the frame's median level."""
-    mesh = background_mesh(pixels, frame, box)
+def background(pixels: DataFrame, good: DataFrame, frame: str, box: int, ny: int, nx: int) -> DataFrame:
+    """(frame, y, x, level) of all pixels from the mesh of the good ones, bilinear between box centres; a missing box takes the frame's median level."""
+    mesh = background_mesh(good, frame, box)
     middle = mesh.groupBy(frame).agg(F.median("level").alias("middle"))
     p = pixels.select(frame, "y", "x", ((F.col("y") + 0.5) / box - 0.5).alias("v"), ((F.col("x") + 0.5) / box - 0.5).alias("u"))
     p = p.withColumns({"fy": F.col("v") - F.floor("v"), "fx": F.col("u") - F.floor("u")})
@@ -153,3 +153,23 @@ def ring_completeness(residual: DataFrame, frame: str, cx: float, cy: float, rad
     ring = residual.filter(F.abs(F.hypot(F.col("x") - cx, F.col("y") - cy) - radius) <= max(width, 1.0))
     per = ring.groupBy(frame, F.least(F.floor(turn * bins), F.lit(bins - 1)).alias("bin")).agg(F.avg("value").alias("value"))
     return per.join(noise, frame).groupBy(frame).agg(F.avg((F.col("value") > 1.5 * F.col("noise")).cast("double")).alias("completeness"), F.avg(F.col("value") / F.col("noise")).alias("significance"))
+
+
+def bad_lines(pixels: DataFrame, frame: str, size: int, sigma: float = 6.0, share: float = 0.55) -> DataFrame:
+    """(frame, axis, line, share): columns (axis x) and rows (y) off their neighbours along most of their length.
+
+    A line's median must leave its five-wide running median by ``sigma`` deviations (not less than a median's own
+    error), and ``share`` of its pixels must lie on the same side by half of that.
+    """
+    whole = clipped_statistics(pixels, frame).filter("std > 0").select(frame, F.col("median").alias("middle"), F.col("std").alias("pixel_noise"))
+    rows = pixels.select(frame, "value", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("line")) for a in ("x", "y")])).alias("l")).select(frame, "l.*", "value")
+    lines = rows.groupBy(frame, "axis", "line").agg(F.median("value").alias("profile"), F.count("*").alias("n"))
+    step = F.explode(F.array(*map(F.lit, (-2, -1, 0, 1, 2)))).alias("d")
+    taps = lines.select(frame, "axis", "line", step).select(frame, "axis", "line", reflect(F.col("line") + F.col("d"), size).alias("src"))
+    smooth = taps.join(lines.select(frame, "axis", F.col("line").alias("src"), "profile"), [frame, "axis", "src"]).groupBy(frame, "axis", "line").agg(F.median("profile").alias("smooth"))
+    left = lines.join(smooth, [frame, "axis", "line"]).select(frame, "axis", "line", "n", (F.col("profile") - F.col("smooth")).alias("value"))
+    noise = clipped_statistics(left, [frame, "axis"]).select(frame, "axis", "std")
+    floor = F.greatest("std", 1.2533 * F.col("pixel_noise") / F.sqrt("n"))
+    off = left.join(noise, [frame, "axis"]).join(whole, frame).filter(F.abs("value") > sigma * floor).select(frame, "axis", "line", "middle", F.col("value").alias("off"))
+    same = (F.col("value") - F.col("middle")) * F.sign("off") > 0.5 * F.abs("off")
+    return rows.join(off, [frame, "axis", "line"]).groupBy(frame, "axis", "line").agg(F.avg(same.cast("double")).alias("share")).filter(F.col("share") >= share)

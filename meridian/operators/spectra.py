@@ -57,3 +57,22 @@ def zero_point(pairs: DataFrame, rounds: int = 4, sigma: float = 3.0) -> tuple[f
         before, kept = n, kept.filter(F.abs(F.col("d") - m) <= max(sigma * spread, 1e-12))
     rms = kept.agg(F.stddev_pop("d")).first()[0] or 0.0
     return m, rms / max(1, n) ** 0.5, n
+
+
+def sky_line_offsets(spectra: DataFrame, lines: DataFrame, window: float, isolation: float) -> DataFrame:
+    """(spec_id, n_lines, offset, scatter, reliable): flux-weighted centroids of isolated lines against where they should be.
+
+    ``lines`` is a short list; lines with a neighbour nearer than ``isolation`` and windows below five pixels are left out.
+    """
+    o = Window.orderBy("line")
+    gap = F.least(F.col("line") - F.lag("line").over(o), F.lead("line").over(o) - F.col("line"))
+    alone = lines.distinct().withColumn("gap", gap).filter(F.coalesce(F.col("gap") >= isolation, F.lit(True)))
+    cell = F.floor(F.col("line") / window)
+    alone = alone.select("line", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    p = spectra.withColumn("cell", F.floor(F.col("wavelength") / window)).join(F.broadcast(alone), "cell").filter(F.abs(F.col("wavelength") - F.col("line")) < window)
+    w = Window.partitionBy("spec_id", "line")
+    p = p.withColumns({"m": F.median("flux").over(w), "n": F.count("*").over(w)}).withColumn("w", F.greatest(F.col("flux") - F.col("m"), F.lit(0.0)))
+    c = p.filter("n >= 5").groupBy("spec_id", "line").agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("wavelength")).alias("at")).filter("total > 0")
+    c = c.withColumn("shift", F.col("at") / F.col("total") - F.col("line")).filter(F.abs("shift") <= 0.6 * window)
+    c = c.withColumn("away", F.abs(F.col("shift") - F.median("shift").over(Window.partitionBy("spec_id"))))
+    return c.groupBy("spec_id").agg(F.count("*").alias("n_lines"), F.median("shift").alias("offset"), F.when(F.count("*") > 2, 1.4826 * F.median("away")).alias("scatter"), (F.count("*") >= 3).alias("reliable"))

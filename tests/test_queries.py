@@ -16,6 +16,8 @@ CHECKED = [
     "win01_variability_features", "win07_variability_class", "win08_phase_fold", "model30_most_variable", "sca01_magnitudes", "sca08_separation", "sca09_healpix",
     "sca12_distances", "prj03_renumber", "prj09_gated_colours", "join03_nearest_known", "join05_mutual_nearest", "join12_overlaps", "join15_catalog_comparison",
     "join19_enclosing_cone", "agg03_number_counts", "agg49_calibration_errors", "agg58_ranking_auc", "agg29_gini", "agg30_m20", "win12_stencil_mean", "model09_components", "top07_vetting_queue",
+    "agg12_mode_estimate", "agg13_background", "agg19_flux_scale", "join20_calibration", "agg26_petrosian_radius", "agg36_phase_winding", "agg37_ring_completeness", "prj12_cutouts", "join09_hosts",
+    "agg07_nearest_neighbours", "win17_sky_lines", "agg22_label_sizes",
 ]
 
 
