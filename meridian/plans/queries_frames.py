@@ -76,9 +76,9 @@ def _(v):
 
 @query("agg13_background", "pixels", f"""WITH {MESH}, mid AS (SELECT epoch, median(level) AS middle FROM mesh GROUP BY epoch), t AS (SELECT epoch, y, x, (y + 0.5) / 5 - 0.5 AS v, (x + 0.5) / 5 - 0.5 AS u FROM pixels),
 k AS (SELECT t.*, dy, dx, (CASE WHEN dy = 1 THEN v - floor(v) ELSE 1 - v + floor(v) END) * (CASE WHEN dx = 1 THEN u - floor(u) ELSE 1 - u + floor(u) END) AS w, least(greatest(floor(v) + dy, 0), 3) AS cy, least(greatest(floor(u) + dx, 0), 3) AS cx FROM t, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx))
-SELECT c.epoch, c.y, c.x, round(sum(w * coalesce(level, middle)), 3) AS level FROM k c JOIN mid ON c.epoch = mid.epoch LEFT JOIN mesh ON mesh.epoch = c.epoch AND by_ = cy AND bx_ = cx GROUP BY c.epoch, c.y, c.x""", "level")
+SELECT c.epoch, c.y, c.x, round(sum(w * coalesce(level, middle)) + 1e-9, 6) AS level FROM k c JOIN mid ON c.epoch = mid.epoch LEFT JOIN mesh ON mesh.epoch = c.epoch AND by_ = cy AND bx_ = cx GROUP BY c.epoch, c.y, c.x""", "level")
 def _(v):
-    return R.background(v.pixels, P.valid(v.pixels), "epoch", 5, 20, 20).withColumn("level", F.round("level", 3))
+    return R.background(v.pixels, P.valid(v.pixels), "epoch", 5, 20, 20).withColumn("level", F.round(F.col("level") + 1e-9, 6))
 
 
 @query("agg16_annulus_background", "sources pixels", f"""WITH {PLACED}, ring AS (SELECT s.source_id, s.epoch, p.value FROM placed s JOIN pixels p ON p.epoch = s.epoch AND sqrt(pow(p.x - sx, 2) + pow(p.y - sy, 2)) >= 5 AND sqrt(pow(p.x - sx, 2) + pow(p.y - sy, 2)) < 9), {clip_sql("ring", "source_id, epoch", "c")}
