@@ -326,6 +326,22 @@ def test_gru_gradients_and_windows():
     assert np.allclose(model.log_likelihoods(texts, 4), model.log_likelihoods(texts, 64), atol=1e-6)
 
 
+def test_lm_learns_from_all_tokens(spark, monkeypatch):
+    """Every training token is learned from, in shards too, and words outside the vocabulary score by their counts."""
+    assert gru.vocabulary_size(10**10) > 10 * gru.vocabulary_size(10**7)
+    monkeypatch.setattr(gru, "vocabulary_size", lambda n: 64)
+    monkeypatch.setattr(gru, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(gru, "LEAST_TOKENS", 1)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, 150)) + f" seldom{i % 30} often" * (i % 3 == 0) for i in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, "w1 seldom9"), (1001, "w1 noise"), (1002, "w1 seldom1")], "doc_id long, text string")
+    n = sum(len(t.split()) + 1 for t in texts)
+    vocabulary = {f"w{k}".encode(): k + 2 for k in range(60)}
+    assert gru.train(docs.filter("doc_id < 1000"), vocabulary, n)[1] == n
+    got = {r.doc_id: r.score for r in gru.score_documents(docs).collect()}
+    assert got[1000] > got[1001] + 0.5 and got[1000] > got[1002] + 0.5
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
