@@ -111,6 +111,27 @@ def test_ngram_join_dense_group(spark, monkeypatch):
     test_ngram_join(spark.createDataFrame(out, SCHEMA), out)
 
 
+def test_ngram_join_every_link(spark, monkeypatch):
+    """All links of a dense group are counted, in one block or several, and of copies and wordless texts."""
+    monkeypatch.setattr(ngram_join, "LARGE", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    base, texts = words(rng, 120).split(), ["", None]
+    for i in range(30):
+        w = list(base)
+        for k in range(i % 4):
+            w[(i * 11 + k * 37) % 120] = f"x{i}y{k}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(1 for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)}
+    assert len(set(want.values())) > 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs, every_link=True)
+    assert {r.doc_id: r.n_links for r in got.collect()} == want
+    plain = ngram_join.near_duplicates(docs)
+    assert sorted(got.drop("n_links").collect()) == sorted(plain.collect())
+
+
 def test_secrets_spans_and_redaction(spark, docs, rows):
     text = 'x PASSWORD="abcdefgh1" y token: short AKIAABCDEFGHIJKL1 é ' + "0123456789abcdef" * 2 + " secret=AKIAABCDEFGHIJKLMN"
     one = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "api_key = 'zzzzzzzzzz'")], "doc_id long, text string")
