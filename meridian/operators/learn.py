@@ -76,8 +76,8 @@ def kmeans(rows: DataFrame, k: int, seeds: int = 4) -> DataFrame:
     return best.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def neighbours(rows: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
-    """(key, other, rank, dist): k nearest by Euclidean distance. Blocks of rows meet as tiles; each keeps k per row."""
+def _tiles(rows: DataFrame, key: str, block: int, pick) -> DataFrame:
+    """(id, other, dist) of the pairs that ``pick`` takes of a tile's distances. Blocks of rows meet as tiles."""
     n = -(-rows.count() // block) or 1
     a = rows.select(F.col(key).alias("id"), F.col("x").cast("array<double>").alias("x")).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)))
     left = a.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
@@ -89,13 +89,27 @@ def neighbours(rows: DataFrame, key: str, k: int, block: int = 2048) -> DataFram
         x, y = np.stack(p["x"].to_numpy()), np.stack(q["y"].to_numpy())
         d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
         d[p["id"].to_numpy()[:, None] == q["other"].to_numpy()] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(p["id"].to_numpy(), near.shape[1]), "other": q["other"].to_numpy()[near.ravel()], "dist": np.take_along_axis(d, near, 1).ravel()})
+        i, j = pick(d)
+        out = pd.DataFrame({"id": p["id"].to_numpy()[i], "other": q["other"].to_numpy()[j], "dist": d[i, j]})
         return out[np.isfinite(out["dist"])]
 
-    tiles = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "id long, other long, dist double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "id long, other long, dist double")
+
+
+def neighbours(rows: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
+    """(key, other, rank, dist): k nearest by Euclidean distance. Each tile keeps k per row."""
+
+    def pick(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
+
     order = Window.partitionBy("id").orderBy(F.round("dist", 9), "other")
-    return tiles.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "other", "rank", "dist")
+    return _tiles(rows, key, block, pick).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "other", "rank", "dist")
+
+
+def within(rows: DataFrame, key: str, eps: float, block: int = 2048) -> DataFrame:
+    """(key, other, dist) of all pairs at most ``eps`` apart, both ways round."""
+    return _tiles(rows, key, block, lambda d: np.nonzero(d <= eps)).select(F.col("id").alias(key), "other", "dist")
 
 
 def novelty(near: DataFrame, key: str) -> DataFrame:
@@ -110,11 +124,11 @@ def retrieval_purity(near: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return hit.join(share)
 
 
-def dbscan(rows: DataFrame, key: str, eps: float, min_samples: int, k: int) -> DataFrame:
-    """Cluster per row, -1 for noise; rows need at most ``k`` neighbours within eps to be looked at exactly."""
+def dbscan(rows: DataFrame, key: str, eps: float, min_samples: int) -> DataFrame:
+    """Cluster per row, -1 for noise; from all pairs within eps."""
     from .rounds import components, cut
 
-    near = cut(neighbours(rows, key, k).filter(F.col("dist") <= eps).select(F.col(key).alias("a"), F.col("other").alias("b")))
+    near = cut(within(rows, key, eps).select(F.col(key).alias("a"), F.col("other").alias("b")))
     core = cut(near.groupBy("a").count().filter(F.col("count") + 1 >= min_samples).select(F.col("a").alias("id")))
     inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
     cluster = cut(components(inner, core))

@@ -36,7 +36,7 @@ def _(v):
 
 @query("model06_dbscan")
 def _(v):
-    return learn.dbscan(_x(v), "vec_id", 0.9, 4, 64)
+    return learn.dbscan(_x(v), "vec_id", 0.9, 4)
 
 
 _NEAR = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS other, b.label = a.label AS same, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), other) AS rank FROM d)"
