@@ -181,7 +181,7 @@ def mahalanobis(rows: DataFrame, key: str, columns: list[str], ridge: float = 1e
     return rows.select(key, F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
 
 
-def isolation_forest(rows: DataFrame, key: str, trees: int = 64, sample: int = 256, seed: int = 0) -> DataFrame:
+def isolation_forest(rows: DataFrame, key: str, trees: int = 128, sample: int = 256, seed: int = 0) -> DataFrame:
     """Anomaly score 2^(-mean depth / c(n)). Trees grow apart on hashed samples of about ``sample`` rows; the forest, of bounded size, is broadcast."""
     n = max(1, rows.count())
     share = min(1.0, sample / n)

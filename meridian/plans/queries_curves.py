@@ -102,7 +102,7 @@ def _(v):
 
 @query("model16_periods")
 def _(v):
-    return L.periods(v.detections, "object_truth", n_frequencies=200)
+    return L.periods(v.detections, "object_truth")
 
 
 @query("win21_curve_encoding")

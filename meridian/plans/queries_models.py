@@ -65,6 +65,6 @@ def _(v):
 
     scored = L.variability(v.detections, "object_truth", ["mjd", "detection_id"]).withColumn("score", L.variability_score())
     worth = v.detections.join(scored.filter("score > 0.35 AND n_epochs >= 6").select("object_truth"), "object_truth", "left_semi")
-    period = L.periods(worth, "object_truth", n_frequencies=500).select("object_truth", "period", "false_alarm_probability")
+    period = L.periods(worth, "object_truth").select("object_truth", "period", "false_alarm_probability")
     out = scored.join(period, "object_truth", "left")
     return out.select("object_truth", "score", "period", "false_alarm_probability", (F.col("score") > 0.5).alias("variable"), F.coalesce(F.col("false_alarm_probability") < 0.01, F.lit(False)).alias("periodic"))
