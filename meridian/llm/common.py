@@ -86,5 +86,11 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> tu
     return flagged.filter("_maybe").drop("_maybe"), flagged.filter(~F.col("_maybe")).drop("_maybe")
 
 
+def without_keys(rows: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """Rows whose key is not in ``keys``; only those that the filter cannot clear are shuffled."""
+    maybe, surely_not = split_by_keys(rows, keys, key, n_keys)
+    return surely_not.unionByName(maybe.join(keys, key, "left_anti").select(rows.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

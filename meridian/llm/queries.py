@@ -24,7 +24,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_ngram_join(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), every_link=True)
+    return near_duplicates(table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op4_packing(spark, sf_dir):

@@ -98,9 +98,13 @@ def test_ngram_join(docs, rows):
     assert Counter(map(tuple, got)) == want
 
 
-def test_ngram_join_dense_group(spark, monkeypatch):
-    """A group of near copies whose links form chains: later rounds must find what the first row does not link."""
+@pytest.mark.parametrize(("block", "part"), [(2048, 20_000), (8, 4)])
+def test_ngram_join_dense_group(spark, monkeypatch, block, part):
+    """A group of near copies whose links form chains: its tiles must find what the first row does not link."""
     monkeypatch.setattr(ngram_join, "LARGE", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 2)
     rng = np.random.default_rng(2)
     base, out = words(rng, 100).split(), []
     for i in range(40):
@@ -126,12 +130,21 @@ def test_ngram_join_every_link(spark, monkeypatch):
     want = {i: sum(1 for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)}
     assert len(set(want.values())) > 2
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = ngram_join.near_duplicates(docs, every_link=True)
+    got = ngram_join.near_duplicates(docs, count_links=True)
     assert {r.doc_id: r.n_links for r in got.collect()} == want
     plain = ngram_join.near_duplicates(docs)
     assert sorted(got.drop("n_links").collect()) == sorted(plain.collect())
 
 
+def test_overlaps():
+    """Counts by products and by index equal set intersections."""
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    a, b = ([np.unique(np.r_[rng.choice(shared, k), rng.integers(0, 500, 30, dtype=np.uint64)]) for k in rng.integers(0, 40, n)] for n in (25, 17))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert ngram_join.overlaps(a, b).tolist() == want
+
+
 def test_secrets_spans_and_redaction(spark, docs, rows):
     text = 'x PASSWORD="abcdefgh1" y token: short AKIAABCDEFGHIJKL1 é ' + "0123456789abcdef" * 2 + " secret=AKIAABCDEFGHIJKLMN"
     one = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "api_key = 'zzzzzzzzzz'")], "doc_id long, text string")
