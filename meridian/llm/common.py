@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 #: A hot-group list that is broadcast has at most this many rows, whatever the input.
 MAX_HOT = 2000
-#: Upper bound of a broadcast bitmap, in bits (32 MB); beyond it more rows take the exact way.
+#: Upper bound of a broadcast bitmap, in bits (32 MB); more rows are gone through in ranges of their hashes.
 MAX_BITS = 1 << 28
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where that is unset, a temporary one in local mode and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(shared)
         shared = spark.sparkContext.getCheckpointDir()
@@ -49,7 +51,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
 
 
 def _slots(h: Column, bits: int) -> list[Column]:
-    return [F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64(h, F.lit(7)), F.lit(bits))]
+    return [F.pmod(F.xxhash64(h, F.lit(5)), F.lit(bits)), F.pmod(F.xxhash64(h, F.lit(7)), F.lit(bits))]
+
+
+def by_ranges(rows: DataFrame, h: Column, n_rows: int) -> list[DataFrame]:
+    """The rows in parts by hash, so many that a filter of each part's rows has its 16 bits a row; one part needs no copy.
+
+    The parts are folders of one table, written without a shuffle, so that each row is read once more whatever their number.
+    """
+    ranges = -(-16 * n_rows // MAX_BITS)
+    if ranges <= 1:
+        return [rows]
+    path = f"{scratch_dir(rows.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    marked = rows.withColumn("_range", F.pmod(h, F.lit(ranges)).cast("int"))
+    marked.write.partitionBy("_range").parquet(path)
+    table = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    return [table.filter(F.col("_range") == r).drop("_range") for r in range(ranges)]
 
 
 def filter_bits(n_rows: int) -> int:

@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import exact_dedup, gru, langid, nearest, ngram_join, packing, pieces, secrets, substring_dedup, warc
+from meridian.llm import common, exact_dedup, gru, langid, nearest, ngram_join, packing, pieces, secrets, substring_dedup, warc
 from meridian.llm.suffixes import suffix_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,7 +59,10 @@ def test_empty_tables(empty):
         assert out.count() == 0
 
 
-def test_exact_dedup(docs, rows):
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 9])
+def test_exact_dedup(docs, rows, monkeypatch, bits):
+    """With one filter, and in ranges with one each."""
+    monkeypatch.setattr(common, "MAX_BITS", bits)
     got = exact_dedup.duplicate_groups(docs).toPandas()
     assert len(got) == len(rows)
     groups = defaultdict(list)
@@ -252,7 +255,9 @@ def test_suffix_order():
             assert p[:cap] <= q[:cap] and (shared[i] == min(n, cap) or n == min(len(p), len(q)))
 
 
-def test_substring_dedup(docs, rows):
+@pytest.mark.parametrize(("hot", "held"), [(10_000, 4_000_000), (1, 300)])
+def test_substring_dedup(docs, rows, hot, held):
+    """Against brute force; with grams split by more of their bytes and the sort's queues spilled as well."""
     texts = [(r[1] or "").encode() for r in rows]
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     want = Counter()
@@ -263,21 +268,36 @@ def test_substring_dedup(docs, rows):
                 gone[i : i + 200] = True
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         want[(r[0], len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) > 0).sum()), hashlib.sha256(kept).hexdigest())] += 1
-    assert Counter(map(tuple, substring_dedup.drop_repeats(docs).collect())) == want
+    assert Counter(map(tuple, substring_dedup.drop_repeats(docs, hot=hot, held=held).collect())) == want
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("odd", [False, True])
+def test_nearest(spark, odd):
+    """Against brute force over many tiles; with huge and vanishing components, repeated rows and clashing columns as well."""
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x = rng.normal(size=(300, 16))
     x[7] = x[9]
-    bad = [(400, None), (None, x[0].tolist()), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] * 16), (404, [])]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "vec_id long, embedding array<float>")
-    got = nearest.nearest(df, query_block=4, row_block=64).toPandas()
-    s = x.astype(float) @ x.astype(float).T
-    for q in range(0, 300, 20):
-        want = sorted((i for i in range(300) if i != q), key=lambda i: (-round(s[q, i], 9), i))[:20]
-        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
-    assert set(got.query_id) == set(range(0, 300, 20))
+    if odd:
+        x[20:24] *= 1e200
+        x[40:60] *= 1e-320
+        x[60:70] *= 1e-160
+        x[80, 0], x[81, 0] = 1e308, -1e308
+    ids = [*range(300), *([20, 20, 20, 33] if odd else [])]
+    x = np.concatenate([x, x[[20, 20, 21, 33]]]) if odd else x
+    bad = [(400, None), (None, x[0].tolist()), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] * 16), (404, []), (405, [1.0]), (406, [float("inf")] * 16)]
+    rows = [(i, v.tolist(), 1, "q") for i, v in zip(ids, x, strict=True)] + [(*r, 1, "q") for r in bad]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int, code string")
+    got = [tuple(r) for r in nearest.nearest(df, query_block=4, components=64 * 16).collect()]
+    want, seen = [], set()
+    for q, (i, v) in enumerate(zip(ids, x, strict=True)):
+        if i % 20 or (i, v.tobytes()) in seen:
+            continue
+        seen.add((i, v.tobytes()))
+        score = nearest.inner(np.repeat(x[q : q + 1], len(x), axis=0), x)
+        near = sorted((k for k in range(len(x)) if ids[k] != i), key=lambda k: (not np.isnan(score[k]), -np.nan_to_num(score[k], posinf=np.inf, neginf=-np.inf), ids[k]))[:20]
+        want += [(i, n, ids[k], score[k]) for n, k in enumerate(near, 1)]
+    assert Counter(map(repr, [(a, b, c, float(d)) for a, b, c, d in got])) == Counter(map(repr, [(a, b, c, float(d)) for a, b, c, d in want]))
+    assert nearest.nearest(df.limit(0)).count() == 0
 
 
 def test_pieces():
