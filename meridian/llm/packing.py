@@ -1,20 +1,19 @@
 """Packing of tokenised documents into fixed-length sequences: first-fit decreasing with a tournament tree.
 
 Each document becomes its token ids and the end id 0, cut into full pieces and one remainder. The
-pieces are dealt into random groups of about GROUP documents; each group packs its own pieces,
+documents are dealt into random groups of about GROUP, the full pieces of long ones one by one; each group packs its own pieces,
 longest first, into the first sequence with room, found in a tournament tree of free capacities.
 
 The ids are those of the byte-level BPE vocabulary. A text is cut at single spaces between two
 non-space characters, where no token of the vocabulary can cross, and the parts are looked up in a
-bounded cache, so each worker encodes a repeated word once.
+cache bounded in bytes, so each worker encodes a repeated word once.
 
 Defined cases: null or empty text is the end id alone; rows are independent, so repeated or null doc_ids
-give their own pieces; ties in length are broken by doc_id, start and checksum; an empty table gives none.
+give their own pieces and fall into different groups; a text of any length is encoded whole; ties in length are broken by doc_id, start and checksum; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 
@@ -26,21 +25,21 @@ from pyspark.sql import functions as F
 
 LENGTH = 1024
 GROUP = 4096
-CACHE = 400_000
+CACHE = 64_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes."""
+    """Token ids of whole texts as little-endian 32-bit bytes; the cache holds about ``cache`` bytes of words at most."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = CACHE):
-        import tiktoken
+    def __init__(self, path: str, cache: int = CACHE):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # a document that spells a special token holds text
+        self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
-        self.cache = cache
+        self.cache, self.held = cache, 0
 
     def ids(self, text: str) -> bytes:
         parts, known = text.split(" "), self.known
@@ -59,34 +58,38 @@ class WordEncoder:
         return np.array(self.encode(part), "<u4").tobytes()
 
     def _learn(self, part: str) -> bytes:
-        if len(self.known) >= self.cache:
-            self.known.clear()
-        got = self.known[part] = self._raw(" " + part)
+        got = self._raw(" " + part)
+        if len(part) < 64:
+            if self.held >= self.cache:
+                self.known.clear()
+                self.held = 0
+            self.known[part] = got
+            self.held += 150 + 2 * len(part) + len(got)
         return got
 
     def _irregular(self, text: str) -> bytes:
         parts = _CUT.split(text)
-        return self._raw(parts[0]) + b"".join([self.known.get(p) or (self._learn(p) if len(p) < 64 else self._raw(" " + p)) for p in parts[1:]])
+        return self._raw(parts[0]) + b"".join([self.known.get(p) or self._learn(p) for p in parts[1:]])
 
 
 def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: every document cut every ``length`` ids."""
+    """row, doc_id, start, length, ids_crc32, doc_tokens: every document cut every ``length`` ids."""
 
     def run(parts):
         import public_tokenizers
 
-        encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
         for part in parts:
             rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            for row, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                 ids = memoryview(encoder.ids(text.as_py()) + b"\0\0\0\0")
                 n = len(ids) // 4
-                rows += [(doc_id, a, min(length, n - a), zlib.crc32(ids[4 * a : 4 * (a + length)]), n) for a in range(0, n, length)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=names)
+                rows += [(row, doc_id, a, min(length, n - a), zlib.crc32(ids[4 * a : 4 * (a + length)]), n) for a in range(0, n, length)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names=names)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class TournamentTree:
@@ -129,6 +132,8 @@ def _pack_group(length: int):
 def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Pieces with sequence_id and offset; groups are independent, so their number grows with the input."""
     groups = max(1, docs.count() // group)
-    dealt = pieces(docs, length).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # a document's remainder goes by the document; its full pieces, which fill a sequence each, may go anywhere
+    full = F.when(F.col("length") == length, F.col("start")).otherwise(-1)
+    dealt = pieces(docs, length).withColumn("pack_group", F.pmod(F.xxhash64("row", full), F.lit(groups))).drop("row")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("pack_group").applyInPandas(_pack_group(length), schema)

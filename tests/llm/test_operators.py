@@ -170,13 +170,16 @@ def test_trigram_queries():
     assert ["api", "key", "pi_", "_ke", "i_k"] and any("i_k" in clause for clause in secrets.trigram_query(r"api_?key"))
 
 
-def test_packing(docs, rows):
+def test_packing(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     reference.encode_special_tokens = True
-    got = packing.pack(docs).toPandas()
+    rows = [*rows, (700, words(np.random.default_rng(4), 3000), "en", "s", 0, "x", None), *[(None, "again", "en", "s", 0, "x", None)] * 9]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = packing.pack(docs, group=8).toPandas()
+    assert got.start.max() > 1024
     for _, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.length.sum() <= 1024 and (s.offset.to_numpy() == np.r_[0, s.length.cumsum()[:-1]]).all()
@@ -195,7 +198,7 @@ def test_word_cache_equals_tokenizer(text):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    e = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    e = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), cache=400)
     assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
