@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, split_by_keys
+from .common import discard, join_groups, materialize, split_by_keys
 from .suffixes import suffix_order
 
 LENGTH, GRAM = 200, 32
@@ -182,6 +182,7 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     # two hashes of the bytes are a unit's identity
     units = cut_units(base, hits, length, gram).withColumn("unit_key", F.struct(F.xxhash64("gram", "unit").alias("x"), F.xxhash64(F.lit(1), "unit", "gram").alias("y")))
     units = materialize(units, "units")
+    discard(found, repeated)
     distinct = units.groupBy("gram", "unit_key", "unit").agg(F.count("*").alias("n"))
     size = units.agg(F.coalesce(F.sum(F.octet_length("unit")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
