@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import POGSON, lit_map
+from ..functions.columns import POGSON, finite, lit_map, magnitude
 from ..functions.sky import separation, with_healpix_centre
 from .rounds import cut
 
@@ -122,3 +122,57 @@ def map_items(rows: DataFrame, function, schema: str) -> DataFrame:
             yield function(part)
 
     return rows.mapInPandas(run, schema)
+
+
+def nest_sources(rows: DataFrame) -> DataFrame:
+    """Flat source rows as nested records: photometry and morphology structs and an array of flags."""
+    photometry = F.struct("flux", "flux_err", "fwhm")
+    morphology = F.struct("concentration", "asymmetry", "gini", "m20")
+    flags = F.filter(F.split(F.coalesce("flags", F.lit("")), r"\|"), lambda x: x != "")
+    return rows.select("source_id", "x", "y", "class", "semi_major", "area_pixels", photometry.alias("photometry"), morphology.alias("morphology"), flags.alias("flags"))
+
+
+def flatten_sources(rows: DataFrame) -> DataFrame:
+    """The flat row of a nested source: flags joined by a bar, a missing half axis from the area, 1 at least."""
+    half = F.coalesce("semi_major", F.greatest(F.sqrt(F.col("area_pixels").cast("double")) / 2, F.lit(1.0)))
+    return rows.select("source_id", "x", "y", "class", half.alias("semi_major"), "photometry.*", "morphology.*", F.concat_ws("|", "flags").alias("flags"))
+
+
+def compare_metrics(ours: DataFrame, theirs: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """Per metric of two catalogs: rows in both, median difference, its robust scatter and Spearman's rank correlation."""
+    long = [side.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("p")).select(key, "p.metric", F.col("p.v").alias(n)) for side, n in ((ours, "a"), (theirs, "b"))]
+    both = long[0].join(long[1], [key, "metric"]).filter("a IS NOT NULL AND b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
+    for side in ("a", "b"):  # average rank of ties, from counts of the values
+        values = both.groupBy("metric", side).agg(F.count("*").alias("times"))
+        below = F.sum("times").over(Window.partitionBy("metric").orderBy(side))
+        ranks = values.select("metric", side, (below - (F.col("times") - 1) / 2).alias(f"rank_{side}"))
+        both = both.join(ranks, ["metric", side])
+    middle = both.groupBy("metric").agg(F.count("*").alias("n"), F.median("d").alias("median_difference"), F.corr("rank_a", "rank_b").alias("spearman"))
+    scatter = both.join(middle.select("metric", "median_difference"), "metric").groupBy("metric").agg((1.4826 * F.median(F.abs(F.col("d") - F.col("median_difference")))).alias("scatter"))
+    return middle.join(scatter, "metric")
+
+
+def tabular_features(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Feature array of each row; what is missing or not finite takes the median of its column."""
+    clean = rows.select(key, *[finite(F.col(n).cast("double")).alias(n) for n in names])
+    middle = clean.agg(*[F.median(n).alias(f"_{n}") for n in names])
+    return clean.crossJoin(F.broadcast(middle)).select(key, F.array(*[F.coalesce(n, f"_{n}") for n in names]).alias("features"))
+
+
+def narrative(rows: DataFrame) -> DataFrame:
+    """One sentence on each source."""
+    shape = F.when(F.col("ellipticity") > 0.5, "elongated").when(F.col("ellipticity") > 0.2, "oval").otherwise("round")
+    snr = F.format_string("%.1f", F.col("flux") / F.col("flux_err"))
+    return rows.select("source_id", F.concat(F.lit("Source "), F.col("source_id").cast("string"), F.lit(" is a "), shape, F.lit(" "), F.col("class"), F.lit(" with signal to noise "), snr).alias("text"))
+
+
+def standards(catalog: DataFrame, pairs: DataFrame, reference: DataFrame, least_snr: float = 20.0) -> DataFrame:
+    """Catalog rows (id, flux, flux_err) with the magnitude of their nearest reference: bright enough and with a finite one. ``pairs``: a_id, b_id, nearest only."""
+    good = catalog.filter(F.col("flux") >= least_snr * F.col("flux_err"))
+    known = reference.filter(finite(F.col("mag_r")).isNotNull()).select(F.col("ref_id").alias("b_id"), "mag_r")
+    return good.join(pairs, good["id"] == pairs["a_id"]).join(known, "b_id").select("id", "b_id", magnitude(F.col("flux")).alias("instrumental"), "mag_r")
+
+
+def ranked(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each group with their rank."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= most)

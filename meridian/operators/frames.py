@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +174,61 @@ def bad_lines(pixels: DataFrame, frame: str, size: int, sigma: float = 6.0, shar
     off = left.join(noise, [frame, "axis"]).join(whole, frame).filter(F.abs("value") > sigma * floor).select(frame, "axis", "line", "middle", F.col("value").alias("off"))
     same = (F.col("value") - F.col("middle")) * F.sign("off") > 0.5 * F.abs("off")
     return rows.join(off, [frame, "axis", "line"]).groupBy(frame, "axis", "line").agg(F.avg(same.cast("double")).alias("share")).filter(F.col("share") >= share)
+
+
+def percentile_stretch(pixels: DataFrame, low: float = 0.01, high: float = 0.995, log_scale: float | None = None) -> DataFrame:
+    """Add ``stretched``: each frame's values between two of its percentiles as 0 to 1, by a logarithm with ``log_scale``."""
+    limits = pixels.groupBy("epoch").agg(F.percentile("value", [low, high]).alias("limits"))
+    scaled = (F.col("value") - F.col("limits")[0]) / F.greatest(F.col("limits")[1] - F.col("limits")[0], F.lit(1e-12))
+    scaled = F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))
+    if log_scale:
+        scaled = F.log(log_scale * scaled + 1) / F.log(F.lit(log_scale + 1))
+    return pixels.join(limits, "epoch").withColumn("stretched", scaled).drop("limits")
+
+
+def robust_score(pixels: DataFrame) -> DataFrame:
+    """Add ``score``: values as distances from their frame's median in robust sigmas."""
+    middle = pixels.groupBy("epoch").agg(F.median("value").alias("middle"))
+    away = pixels.join(middle, "epoch").withColumn("away", F.col("value") - F.col("middle"))
+    sigma = away.groupBy("epoch").agg((1.4826 * F.median(F.abs("away"))).alias("sigma"))
+    return away.join(sigma, "epoch").withColumn("score", F.col("away") / F.greatest("sigma", F.lit(1e-9))).drop("middle", "away", "sigma")
+
+
+def boxcar_extract(pixels: DataFrame, trace: float, half_width: float) -> DataFrame:
+    """Spectrum of each slit frame: per column the pixels near the trace, less the median of the others."""
+    near = F.abs(F.col("y") - trace) <= half_width
+    by_column = pixels.groupBy("epoch", "x")
+    sums = by_column.agg(F.sum(F.when(near, F.col("value"))).alias("total"), F.count_if(near).alias("n"), F.median(F.when(~near, F.col("value"))).alias("sky"), F.sqrt(F.sum(F.when(near, F.col("rms") ** 2))).alias("error"))
+    return sums.select("epoch", "x", (F.col("total") - F.col("n") * F.col("sky")).alias("flux"), "error")
+
+
+def forced_photometry(pixels: DataFrame, positions: list[tuple[float, float]], radius: float = 4.0, annulus: tuple[float, float] = (8.0, 14.0)) -> DataFrame:
+    """Light curve of each given position: flux in the aperture less the annulus' median, in every epoch. The positions are a literal list."""
+    at = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for n, (x, y) in enumerate(positions)])
+    rows = pixels.filter(~F.col("bad")).withColumn("at", F.explode(at))
+    r = F.sqrt((F.col("x") - F.col("at.x")) ** 2 + (F.col("y") - F.col("at.y")) ** 2)
+    rows = rows.withColumn("r", r).filter(F.col("r") <= annulus[1])
+    inside, ring = F.col("r") <= radius, F.col("r") >= annulus[0]
+    sums = rows.groupBy(F.col("at.n").alias("position"), "epoch", "mjd").agg(F.sum(F.when(inside, F.col("value"))).alias("total"), F.count_if(inside).alias("n_pix"), F.median(F.when(ring, F.col("value"))).alias("sky"), F.sqrt(F.sum(F.when(inside, F.col("rms") ** 2))).alias("flux_err"))
+    return sums.select("position", "epoch", "mjd", (F.col("total") - F.col("n_pix") * F.coalesce("sky", F.lit(0.0))).alias("flux"), "flux_err")
+
+
+def bilinear(pixels: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Frames sampled between their pixels, at (x + dx, y + dy), each pixel adding its share to the samples beside it."""
+    shares = [(0, 0, (1 - dx) * (1 - dy)), (1, 0, dx * (1 - dy)), (0, 1, (1 - dx) * dy), (1, 1, dx * dy)]
+    parts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(float(w)).alias("w")) for x, y, w in shares])
+    sent = pixels.select("epoch", "x", "y", "value", F.explode(parts).alias("part"))
+    sent = sent.groupBy("epoch", (F.col("y") - F.col("part.y")).alias("y"), (F.col("x") - F.col("part.x")).alias("x"))
+    return sent.agg(F.sum(F.col("value") * F.col("part.w")).alias("sample"), F.count("*").alias("corners")).filter("corners = 4").drop("corners")
+
+
+def block_function(pixels: DataFrame, factor: int, function, name: str) -> DataFrame:
+    """Any function of a block's values, handed over as one pandas Series a block."""
+
+    def reduce(values: pd.Series) -> float:
+        return function(values)
+
+    reduce = F.pandas_udf(reduce, "double", F.PandasUDFType.GROUPED_AGG)
+
+    block = [(F.floor(F.col(c) / factor)).cast("int").alias(f"b{c}") for c in ("y", "x")]
+    return pixels.groupBy("epoch", *block).agg(reduce("value").alias(name))

@@ -70,9 +70,13 @@ def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "flux", "peak", "area", "cx", "cy", F.sqrt(F.greatest(half + root, F.lit(0.0))).alias("semi_major"), F.sqrt(F.greatest(half - root, F.lit(0.0))).alias("semi_minor"), (0.5 * F.atan2(2 * c, a - b)).alias("theta"))
 
 
-def label(pixels: DataFrame, frame: str, threshold: float, connectivity: int = 8) -> DataFrame:
-    """Connected regions above a threshold; a region's label is its smallest pixel number."""
-    on = cut(pixels.filter(F.col("value") > threshold).withColumn("id", F.col(frame) * 1_000_000 + F.col("y") * 1000 + F.col("x")))
+#: Pixels in a row of the numbering of pixels; frame numbers go up to 2^23.
+SIDE = 1 << 20
+
+
+def label(pixels: DataFrame, frame: str, threshold: float, connectivity: int = 8, side: int = SIDE) -> DataFrame:
+    """Connected regions above a threshold; a region's label is its smallest pixel number, in rows of ``side`` pixels, which no frame may exceed."""
+    on = cut(pixels.filter(F.col("value") > threshold).withColumn("id", (F.col(frame).cast("long") * side + F.col("y")) * side + F.col("x")))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps]))
     a = on.select(F.col("id").alias("a"), frame, "y", "x").withColumn("d", near)

@@ -5,20 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back, so a round's plan and recovery start there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which the cluster shares; where that is unset, a temporary one in local mode and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/round-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` below spark.checkpoint.dir and read it back, so a round's plan and recovery start there."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import horner
+
 
 def continuum(spectra: DataFrame, half: int = 75, rounds: int = 3, sigma: float = 1.5) -> DataFrame:
     """Running median over 2 half + 1 pixels; pixels above it by ``sigma`` scaled MADs are replaced, round by round."""
@@ -76,3 +78,56 @@ def sky_line_offsets(spectra: DataFrame, lines: DataFrame, window: float, isolat
     c = c.withColumn("shift", F.col("at") / F.col("total") - F.col("line")).filter(F.abs("shift") <= 0.6 * window)
     c = c.withColumn("away", F.abs(F.col("shift") - F.median("shift").over(Window.partitionBy("spec_id"))))
     return c.groupBy("spec_id").agg(F.count("*").alias("n_lines"), F.median("shift").alias("offset"), F.when(F.count("*") > 2, 1.4826 * F.median("away")).alias("scatter"), (F.count("*") >= 3).alias("reliable"))
+
+
+#: Signal to noise of a detected line, sigmas of an upper limit, and the published dividing lines (slope, pole, offset).
+DETECTED, LIMIT_SIGMA = 3.0, 3.0
+EMPIRICAL, THEORETICAL, SEYFERT = (0.61, 0.05, 1.30), (0.61, 0.47, 1.19), (1.05, 0.45)
+
+
+def line_ratio(top: tuple[Column, Column], bottom: tuple[Column, Column]) -> Column:
+    """struct(value, error, status) of two (flux, error) lines; a ratio with an undetected line is a limit, with two there is none."""
+    (f, df), (g, dg) = top, bottom
+    up, low = F.coalesce(f >= DETECTED * df, F.lit(False)), F.coalesce(g >= DETECTED * dg, F.lit(False))
+    status = F.when(up & low, "measured").when(low, "upper_limit").when(up, "lower_limit").otherwise("unavailable")
+    value = F.when(up & low, f / g).when(low, LIMIT_SIGMA * df / g).when(up, f / (LIMIT_SIGMA * dg))
+    error = F.when(up & low, F.abs(f / g) * F.sqrt((df / f) ** 2 + (dg / g) ** 2))
+    return F.struct(value.alias("value"), error.alias("error"), status.alias("status"))
+
+
+def _boundary(x: Column, line: tuple[float, float, float]) -> Column:
+    slope, pole, offset = line
+    return F.when(x < pole, slope / (x - pole) + offset).otherwise(float("-inf"))
+
+
+def diagnostic_class(rows: DataFrame, oxygen: str, nitrogen: str) -> DataFrame:
+    """Add log ratios, the region of the diagram and whether it is sure; ``oxygen`` and ``nitrogen`` are line_ratio columns."""
+    usable = (F.col(oxygen)["value"] > 0) & (F.col(nitrogen)["value"] > 0)
+    y, x = (F.when(usable, F.log10(F.col(c)["value"])) for c in (oxygen, nitrogen))
+    rows = rows.withColumns({"log_o3_hb": y, "log_n2_ha": x})
+    x, y = F.col("log_n2_ha"), F.col("log_o3_hb")
+    first, second = _boundary(x, EMPIRICAL), _boundary(x, THEORETICAL)
+    kind = F.when(x.isNull(), "unclassified").when(y < first, "star-forming").when(y < second, "composite").when(y > SEYFERT[0] * x + SEYFERT[1], "Seyfert").otherwise("LINER")
+    spread = F.sqrt(sum((F.coalesce(F.col(c)["error"] / (F.col(c)["value"] * F.log(F.lit(10.0))), F.lit(0.0)) ** 2 for c in (oxygen, nitrogen)), F.lit(0.0)))
+    distance = F.least(F.abs(y - first), F.abs(y - second))
+    measured = (F.col(oxygen)["status"] == "measured") & (F.col(nitrogen)["status"] == "measured")
+    sure = measured & (distance < float("inf")) & (distance > F.greatest(2 * spread, F.lit(0.05)))
+    return rows.withColumns({"region": kind, "confident": F.coalesce(sure, F.lit(False))})
+
+
+def wavelength_axis(spectra: DataFrame, coefficients: list[float], first: float, last: float) -> DataFrame:
+    """Wavelengths as a polynomial of the pixel, highest power first; pixels outside the fitted range are marked."""
+    pix = F.col("pix").cast("double")
+    return spectra.withColumns({"wavelength": horner(pix, coefficients), "extrapolated": (pix < first) | (pix > last)})
+
+
+def shifted(spectra: DataFrame, z: float, low: float, high: float) -> DataFrame:
+    """The spectra as seen at redshift ``z``, cut to a wavelength range."""
+    wavelength = F.col("wavelength") * (1 + z)
+    return spectra.withColumn("wavelength", wavelength).filter(F.col("wavelength").between(low, high))
+
+
+def spectrum_summary(spectra: DataFrame) -> DataFrame:
+    """Per spectrum: pixels, median signal to noise and median wavelength step."""
+    step = F.col("wavelength") - F.lag("wavelength").over(Window.partitionBy("spec_id").orderBy("pix"))
+    return spectra.withColumn("step", step).groupBy("spec_id").agg(F.count("*").alias("n"), F.median(F.col("flux") / F.col("error")).alias("snr"), F.median("step").alias("dispersion"))

@@ -120,14 +120,14 @@ def _(v):
 @query("agg22_label_sizes", "pixels", f"""WITH RECURSIVE {REGIONS} SELECT epoch, label, count(*) AS size, row_number() OVER (PARTITION BY epoch ORDER BY label) AS number, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max FROM lab GROUP BY epoch, label HAVING count(*) >= 2""")
 def _(v):
     box = [f(c).alias(f"{c}_{n}") for c in ("y", "x") for n, f in (("min", F.min), ("max", F.max))]
-    sizes = P.label(v.pixels, "epoch", 60.0).groupBy("epoch", "label").agg(F.count("*").alias("size"), *box).filter("size >= 2")
+    sizes = P.label(v.pixels, "epoch", 60.0, side=1000).groupBy("epoch", "label").agg(F.count("*").alias("size"), *box).filter("size >= 2")
     return sizes.withColumn("number", F.row_number().over(Window.partitionBy("epoch").orderBy("label")).cast("long"))
 
 
 @query("agg39_arc_radius", "pixels", f"""WITH RECURSIVE {REGIONS}, arcs AS (SELECT epoch, label, sum(value) AS f, sqrt(pow(sum(value * x) / sum(value) - 9.5, 2) + pow(sum(value * y) / sum(value) - 9.5, 2)) AS r FROM lab GROUP BY epoch, label),
 m AS (SELECT *, sum(f * r) OVER w / sum(f) OVER w AS mean FROM arcs WINDOW w AS (PARTITION BY epoch)) SELECT epoch, any_value(mean) AS radius, sqrt(sum(f * pow(r - mean, 2)) / sum(f)) AS scatter FROM m GROUP BY epoch""", "radius scatter")
 def _(v):
-    arcs = P.moments(P.label(v.pixels, "epoch", 60.0), ["epoch", "label"]).withColumn("r", F.hypot(F.col("cx") - CENTRE, F.col("cy") - CENTRE))
+    arcs = P.moments(P.label(v.pixels, "epoch", 60.0, side=1000), ["epoch", "label"]).withColumn("r", F.hypot(F.col("cx") - CENTRE, F.col("cy") - CENTRE))
     w = Window.partitionBy("epoch")
     arcs = arcs.withColumn("mean", F.sum(F.col("flux") * F.col("r")).over(w) / F.sum("flux").over(w))
     return arcs.groupBy("epoch").agg(F.first("mean").alias("radius"), F.sqrt(F.sum(F.col("flux") * F.pow(F.col("r") - F.col("mean"), F.lit(2.0))) / F.sum("flux")).alias("scatter"))

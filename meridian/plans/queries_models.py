@@ -1,5 +1,7 @@
 """Queries of photometric redshifts, novelty models and bootstrap errors."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import magnitude
@@ -8,6 +10,13 @@ from ..operators import pixels as P
 from .registry import query
 
 
+
+def noise(*keys: str):
+    """Normal deviates from a hash of the keys, the same in every run and partitioning."""
+    u, w = ((F.pmod(F.xxhash64(*keys, F.lit(n)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for n in (1, 2))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * w)
+
+
 @query("model17_photoz", "detections", """WITH m AS (SELECT object_truth, band, 25 - 2.5 * log10(avg(flux)) AS mag FROM detections WHERE flux > 0 GROUP BY object_truth, band),
 o AS (SELECT a.object_truth, a.mag - b.mag AS gr, b.mag - c.mag AS ri FROM m a JOIN m b ON a.object_truth = b.object_truth JOIN m c ON a.object_truth = c.object_truth WHERE a.band = 'g' AND b.band = 'r' AND c.band = 'i'),
 l AS (SELECT range % 4 AS template, floor(range / 4) * 0.02 AS z, -0.5 + 0.3 * (range % 4) + 0.8 * floor(range / 4) * 0.02 AS tgr, -0.3 + 0.1 * (range % 4) + 0.4 * floor(range / 4) * 0.02 AS tri FROM range(204)),
@@ -37,7 +46,7 @@ def _(v):
 
 @query("model27_bootstrap_gini")
 def _(v):
-    noisy = v.pixels.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("value", F.col("value") + F.col("rms") * F.randn(7))
+    noisy = v.pixels.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("value", F.col("value") + F.col("rms") * noise("epoch", "y", "x", "replicate"))
     noisy = noisy.withColumn("frame", F.col("epoch") * 100 + F.col("replicate"))
     g = P.gini(noisy, "frame").withColumn("epoch", F.floor(F.col("frame") / 100))
     return g.groupBy("epoch").agg(F.avg("gini").alias("mean"), F.stddev_samp("gini").alias("error"))

@@ -197,12 +197,12 @@ e AS (SELECT a.id AS a, b.id AS b FROM on_ a JOIN on_ b ON a.epoch = b.epoch AND
 r(id, l) AS (SELECT id, id FROM on_ UNION SELECT e.b, r.l FROM r JOIN e ON r.id = e.a WHERE r.l < e.b)
 SELECT id, min(l) AS label FROM r GROUP BY id""")
 def _(v):
-    return P.label(v.pixels, "epoch", 60.0).select("id", "label")
+    return P.label(v.pixels, "epoch", 60.0, side=1000).select("id", "label")
 
 
 @query("model32_extraction")
 def _(v):
-    regions = P.label(v.pixels, "epoch", 60.0)
+    regions = P.label(v.pixels, "epoch", 60.0, side=1000)
     return P.moments(regions, ["epoch", "label"]).filter("area >= 3")
 
 

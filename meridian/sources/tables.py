@@ -47,7 +47,8 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
     mags = [c for c in raw.columns if c.lower().endswith("mag")]
     pairs = [x for c in mags for x in (F.lit(c), F.expr(f"try_cast(`{c}` AS DOUBLE)"))]
     magnitudes = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-    out = raw.select(F.expr(f"try_cast(`{ra}` AS DOUBLE)").alias("ra"), F.expr(f"try_cast(`{dec}` AS DOUBLE)").alias("dec"), F.map_filter(magnitudes, lambda _, m: m.isNotNull()).alias("magnitudes"))
+    name = next((names[c] for c in ("name", "id", "source") if c in names), None)
+    out = raw.select((F.col(name) if name else F.lit(None).cast("string")).alias("name"), F.expr(f"try_cast(`{ra}` AS DOUBLE)").alias("ra"), F.expr(f"try_cast(`{dec}` AS DOUBLE)").alias("dec"), F.map_filter(magnitudes, lambda _, m: m.isNotNull()).alias("magnitudes"))
     return out.filter("ra IS NOT NULL AND dec IS NOT NULL")
 
 
@@ -69,3 +70,65 @@ def alert_queue(alerts: DataFrame, limit: int) -> DataFrame:
     forced = F.size(F.filter("prv_candidates", lambda p: p["forced"]))
     found = F.size(F.filter("prv_candidates", lambda p: p["flux"] / p["flux_err"] >= 5))
     return alerts.select("object_id", "candid", score.alias("score"), F.size("prv_candidates").alias("n_history"), found.alias("n_detections"), forced.alias("n_forced")).orderBy(F.desc("score"), "candid").limit(limit)
+
+
+#: Spellings of position and name columns in reference files.
+RA_NAMES, DEC_NAMES, ID_NAMES = ("ra", "raj2000", "ra_deg", "ra_icrs"), ("dec", "dej2000", "dec_deg", "de_icrs"), ("name", "id", "source")
+
+
+def read_references(spark: SparkSession, path: str) -> DataFrame:
+    """id, ra, dec, magnitudes (band to value) of a CSV file in any case of header; rows without a finite position are dropped."""
+    raw = spark.read.option("header", True).csv(path)
+    names = {c.lower(): c for c in raw.columns}
+
+    def pick(spellings):
+        return next(names[s] for s in spellings if s in names)
+
+    def number(column):
+        return F.expr(f"try_cast(`{column}` AS DOUBLE)")
+
+    mags = [x for low, c in names.items() if low.endswith("mag") for x in (F.lit(low[: -len("mag")]), number(c))]
+    magnitudes = F.map_filter(F.create_map(*mags), lambda _, m: m.isNotNull())
+    out = raw.select(F.col(pick(ID_NAMES)).alias("id"), number(pick(RA_NAMES)).alias("ra"), number(pick(DEC_NAMES)).alias("dec"), magnitudes.alias("magnitudes"))
+    limit = float("inf")
+    return out.filter((F.abs("ra") < limit) & (F.abs("dec") < limit))
+
+
+def append_verdicts(rows: DataFrame, path: str) -> int:
+    """Append verdicts to a log; those without a reviewer are refused and counted."""
+    signed = F.coalesce(F.trim("reviewer") != "", F.lit(False))
+    rows.filter(signed).write.mode("append").parquet(path)
+    return rows.filter(~signed).count()
+
+
+def read_verdicts(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The whole log in the newest schema; what older rows lack is null."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_alerts(alerts: DataFrame, path: str, least_rb: float):
+    """Write the alerts that are not bogus; returns their schema."""
+    kept = alerts.filter(F.coalesce("candidate.rb", F.lit(1.0)) >= least_rb)
+    kept.write.parquet(path)
+    return kept.schema
+
+
+def report_rows(alerts: DataFrame, reporter: str) -> DataFrame:
+    """Draft discovery reports of classified alerts, with the last non-detection before each; a reporter must be named."""
+    if not reporter.strip():
+        raise ValueError("a report needs a reporter")
+    limits = F.filter("prv_candidates", lambda p: (p["flux"] < 5 * p["flux_err"]) & (p["mjd"] < F.col("candidate.mjd")))
+    last = F.array_max(F.transform(limits, lambda p: p["mjd"]))
+    rows = alerts.filter("classification IS NOT NULL")
+    return rows.select("object_id", "candid", "candidate.ra", "candidate.dec", (F.col("candidate.mjd") + 2400000.5).alias("discovery_jd"), F.col("classification").alias("at_type"), last.alias("last_limit"))
+
+
+def write_detections(detections: DataFrame, path: str) -> None:
+    """Append detections to the store, partitioned by field."""
+    detections.write.mode("append").partitionBy("field_id").parquet(path)
+
+
+def store_counts(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Detections, objects and time range of every field in the store."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.groupBy("field_id").agg(F.count("*").alias("n_detections"), F.countDistinct("object_truth").alias("n_objects"), F.min("mjd").alias("first_mjd"), F.max("mjd").alias("last_mjd"))
