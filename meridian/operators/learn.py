@@ -246,3 +246,26 @@ def ensemble(scores: list[DataFrame], key: str) -> DataFrame:
     rows = reduce(lambda a, b: a.join(b, key), parts)
     total = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(len(parts))])
     return rows.withColumn("score", total / len(parts))
+
+
+def score_rows(rows: DataFrame, key: str, features: list[str], predict, classes: list[str]) -> DataFrame:
+    """(key, one probability per class) from ``predict``, a function of a numpy matrix, called batch by batch."""
+
+    def run(batches):
+        for b in batches:
+            p = predict(b[features].to_numpy(float))
+            yield pd.DataFrame({key: b[key], **{c: p[:, i] for i, c in enumerate(classes)}})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, *features).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in classes))
+
+
+def linear_probe(train: DataFrame, test: DataFrame, penalty: float = 1e-3) -> DataFrame:
+    """(label, n, recall, accuracy, balanced): a multinomial linear model on vectors ``x``, one row per label of the test rows."""
+    from pyspark.ml.classification import LogisticRegression
+
+    model = LogisticRegression(family="multinomial", regParam=penalty, maxIter=100).fit(_vectors(train))
+    hit = (F.col("prediction") == F.col("label")).cast("double")
+    per = model.transform(_vectors(test)).groupBy("label").agg(F.count("*").alias("n"), F.avg(hit).alias("recall"))
+    whole = per.agg((F.sum(F.col("n") * F.col("recall")) / F.sum("n")).alias("accuracy"), F.avg("recall").alias("balanced"))
+    return per.join(F.broadcast(whole))

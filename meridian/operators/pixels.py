@@ -113,6 +113,14 @@ def asymmetry(pixels: DataFrame, key: str, cx: float, cy: float) -> DataFrame:
     return pixels.join(turned, [key, "y", "x"]).groupBy(key).agg((F.sum(F.abs(F.col("value") - F.col("other"))) / F.sum(F.abs("value"))).alias("asymmetry"))
 
 
+def coverage(radius: float) -> Column:
+    """Share of the pixel (x, y) within a radius of (sx, sy); edge pixels are split 5 x 5."""
+    grid = F.array(*[F.struct(F.lit((i - 2) / 5.0).alias("i"), F.lit((j - 2) / 5.0).alias("j")) for i in range(5) for j in range(5)])
+    hits = F.aggregate(grid, F.lit(0.0), lambda n, g: n + F.when((F.col("x") + g["i"] - F.col("sx")) ** 2 + (F.col("y") + g["j"] - F.col("sy")) ** 2 <= radius**2, 1.0).otherwise(0.0)) / 25
+    far = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+    return F.when(far <= radius - 0.8, 1.0).when(far >= radius + 0.8, 0.0).otherwise(hits)
+
+
 def apertures(sources: DataFrame, pixels: DataFrame, key: str, radius: float, size: float = 8.0) -> DataFrame:
     """Sub-pixel aperture sums per source and frame: sources and pixels meet in cells, edge pixels are split 5 x 5."""
     reach = radius + 1
@@ -122,11 +130,7 @@ def apertures(sources: DataFrame, pixels: DataFrame, key: str, radius: float, si
     s = s.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
     p = pixels.select(key, "x", "y", "value", "rms", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     near = p.join(s, ["cx", "cy"]).filter((F.abs(F.col("x") - F.col("sx")) <= reach) & (F.abs(F.col("y") - F.col("sy")) <= reach))
-    grid = F.array(*[F.struct(F.lit((i - 2) / 5.0).alias("i"), F.lit((j - 2) / 5.0).alias("j")) for i in range(5) for j in range(5)])
-    hits = F.aggregate(grid, F.lit(0.0), lambda n, g: n + F.when((F.col("x") + g["i"] - F.col("sx")) ** 2 + (F.col("y") + g["j"] - F.col("sy")) ** 2 <= radius**2, 1.0).otherwise(0.0)) / 25
-    far = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    weight = F.when(far <= radius - 0.8, 1.0).when(far >= radius + 0.8, 0.0).otherwise(hits)
-    near = near.withColumn("w", weight).filter("w > 0")
+    near = near.withColumn("w", coverage(radius)).filter("w > 0")
     flux = F.sum(F.col("w") * F.col("value"))
     return near.groupBy("source_id", key).agg(flux.alias("flux"), F.sum("w").alias("area"), F.sqrt(F.sum(F.col("w") * F.col("rms") * F.col("rms")) + F.greatest(flux, F.lit(0.0))).alias("flux_err"))
 

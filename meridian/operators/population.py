@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cosmology import Cosmology
+from .catalog import by_redshift
+from .match import number_rows
+from .rounds import cut
+
 
 def number_counts(rows: DataFrame, mag: Column, width: float = 0.5) -> DataFrame:
     """bin, n, log_n over floor(m / w) w bins; empty bins between the ends are kept with n = 0."""
@@ -68,3 +73,46 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     per = per.withColumn("inner", inner).join(cells.select("cell", "below_cell"), "cell")
     won = F.sum(F.col("p") * (F.col("below_cell") + F.col("inner") + 0.5 * F.col("q")))
     return per.agg((won / (F.sum("p") * F.sum("q"))).alias("auc"))
+
+
+def luminosity_function(rows: DataFrame, mag: Column, z: float, square_degrees: float, cosmology: Cosmology, width: float = 0.5) -> DataFrame:
+    """bin, n and phi (per Mpc3 and magnitude) of absolute magnitudes at one redshift; empty below three magnitudes."""
+    one = rows.sparkSession.range(1).select(cosmology.modulus(F.lit(z)).alias("mu"), cosmology.volume(F.lit(z), square_degrees).alias("v")).first()
+    counts = number_counts(rows, mag - one["mu"], width)
+    enough = counts.agg(F.sum("n").alias("all")).filter("all >= 3")
+    return counts.join(F.broadcast(enough)).select("bin", "n", (F.col("n") / max(one["v"] * width, 1e-9)).alias("phi"))
+
+
+def annotate(rows: DataFrame, cosmology: Cosmology, scale: float, extended: Column, magnitude: Column, field_z: float | None = None, nominal_z: float | None = None) -> DataFrame:
+    """Redshift, where it comes from, and the lengths and luminosities that follow from it.
+
+    ``photoz`` with ``reliable`` comes first, then the field's redshift, then a nominal one for extended sources; without
+    any, only the angular size is given.
+    """
+    own = F.col("photoz")
+    z = F.coalesce(own, F.lit(field_z).cast("double"), F.when(extended, F.lit(nominal_z).cast("double")))
+    source = F.when(own.isNotNull() & F.col("reliable"), "photometric").when(own.isNotNull(), "photometric_unreliable")
+    source = source.when(F.lit(field_z is not None), "assumed_field").when(extended & F.lit(nominal_z is not None), "assumed_nominal")
+    angular = 2 * F.col("semi_major") * scale
+    rows = rows.withColumns({"z": z, "redshift_source": source, "angular_arcsec": angular, "mag_": magnitude})
+    rows = by_redshift(rows, lambda c: {"modulus_": cosmology.modulus(c), "kpc_": cosmology.kpc_per_arcsec(c), "lookback_": cosmology.lookback(c)}, "z")
+    known = F.col("z") > 0
+    return rows.withColumns({
+        "size_kpc": F.when(known & (angular > 0), angular * F.col("kpc_")), "absolute_mag": F.when(known, F.col("mag_") - F.col("modulus_")), "lookback_gyr": F.when(known, F.col("lookback_")),
+    }).drop("mag_", "modulus_", "kpc_", "lookback_")
+
+
+def average_precision(predicted: DataFrame, matched: DataFrame, truths: int, block: int = 100_000) -> DataFrame:
+    """Area under the precision envelope over recall.
+
+    ``predicted`` (id, score) are all predictions and ``matched`` (id) those that found a truth. Precision peaks only at a
+    match, so after ranking all predictions only matches are kept; the running maximum from the end goes block by block.
+    """
+    ranks = number_rows(predicted.select("id", (-F.col("score")).alias("down")), "down", "id").select("id", F.col("number").alias("rank"))
+    hits = cut(number_rows(ranks.join(matched.select("id"), "id", "left_semi"), "rank"))
+    hits = hits.select(F.floor(F.col("number") / block).alias("block"), "number", (F.col("number") / F.col("rank")).alias("precision"))
+    tops = hits.groupBy("block").agg(F.max("precision").alias("top"))
+    later = tops.withColumn("later", F.max("top").over(Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))).drop("top")
+    within = F.max("precision").over(Window.partitionBy("block").orderBy(F.desc("number")))
+    envelope = hits.withColumn("within", within).join(F.broadcast(later), "block").select(F.greatest("within", F.coalesce("later", F.lit(0.0))).alias("p"))
+    return envelope.agg((F.coalesce(F.sum("p"), F.lit(0.0)) / max(truths, 1)).alias("average_precision"))

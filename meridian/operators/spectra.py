@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,3 +133,39 @@ def spectrum_summary(spectra: DataFrame) -> DataFrame:
     """Per spectrum: pixels, median signal to noise and median wavelength step."""
     step = F.col("wavelength") - F.lag("wavelength").over(Window.partitionBy("spec_id").orderBy("pix"))
     return spectra.withColumn("step", step).groupBy("spec_id").agg(F.count("*").alias("n"), F.median(F.col("flux") / F.col("error")).alias("snr"), F.median("step").alias("dispersion"))
+
+
+#: Rest wavelengths in Angstrom of the emission lines that a redshift is read from.
+EMISSION = {"[O II]": 3727.4, "H beta": 4861.3, "[O III] 5007": 5006.8, "H alpha": 6562.8, "[N II] 6584": 6583.5}
+
+
+def emission_redshift(spectra: DataFrame, least: float = 5.0) -> DataFrame:
+    """(spec_id, z, n_lines, lines) from (spec_id, wavelength, excess), where excess is the normalised flux less one.
+
+    Trial redshifts a fifth of a step apart are scored by the positive excess at all lines in range, two at least; the
+    lines found are those above ``least`` times the noise near their places. z is null with fewer than two found.
+    A spectrum meets in one task; the trials stay inside it.
+    """
+    names, rest = list(EMISSION), np.array(list(EMISSION.values()))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        key, none = part["spec_id"].iloc[0], {"z": None, "n_lines": 0, "lines": ""}
+        part = part.dropna(subset=["wavelength", "excess"]).sort_values("wavelength")
+        w, e = part["wavelength"].to_numpy(), part["excess"].to_numpy()
+        if len(w) < 3:
+            return pd.DataFrame([{"spec_id": key, **none}])
+        noise, step = 1.4826 * np.median(np.abs(e - np.median(e))), float(np.median(np.diff(w)))
+        trials = np.arange(max(w[0] / rest.max() - 1, 0), w[-1] / rest.min() - 1, 0.2 * step / np.median(rest)) if noise > 0 else np.empty(0)
+        places = rest * (1 + trials[:, None])
+        inside = (places > w[0]) & (places < w[-1])
+        scores = (np.clip(np.interp(places, w, e), 0, None) * inside).sum(axis=1) * (inside.sum(axis=1) >= 2)
+        if not len(scores) or scores.max() <= 0:
+            return pd.DataFrame([{"spec_id": key, **none}])
+        z = float(trials[int(np.argmax(np.round(scores, 9)))])
+        at = rest * (1 + z)
+        near = np.abs(w - at[:, None]) < max(3 * step, 6.0)
+        high = np.where(near, e, -np.inf).max(axis=1) > least * noise
+        found = [n for n, h, c in zip(names, high, at, strict=True) if h and w[0] < c < w[-1]]
+        return pd.DataFrame([{"spec_id": key, "z": z if len(found) > 1 else None, "n_lines": len(found), "lines": "|".join(found)}])
+
+    return spectra.groupBy("spec_id").applyInPandas(one, "spec_id long, z double, n_lines int, lines string")

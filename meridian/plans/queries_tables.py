@@ -206,12 +206,6 @@ def _(v):
     return P.moments(regions, ["epoch", "label"]).filter("area >= 3")
 
 
-@query("join22_apertures")
-def _(v):
-    s = v.sources.filter("x < 20 AND y < 20").select(F.col("source_id").alias("id"), "x", "y")
-    return P.apertures(s, v.pixels, "epoch", 3.0)
-
-
 @query("set04_mask_union", "pixels", "SELECT y, x, bool_or(bad) AS any_bad FROM pixels GROUP BY y, x")
 def _(v):
     return P.stack(v.pixels).select("y", "x", "any_bad")

@@ -132,3 +132,37 @@ def store_counts(spark: SparkSession, path: str, schema) -> DataFrame:
     """Detections, objects and time range of every field in the store."""
     rows = spark.read.schema(schema).parquet(path)
     return rows.groupBy("field_id").agg(F.count("*").alias("n_detections"), F.countDistinct("object_truth").alias("n_objects"), F.min("mjd").alias("first_mjd"), F.max("mjd").alias("last_mjd"))
+
+
+def series_frames(pixels: DataFrame) -> DataFrame:
+    """Frames of a series in order of time (epoch, mjd, position, ny, nx, n, consistent): consistent where shape and count equal the first frame's."""
+    from ..operators.match import number_rows
+
+    frames = pixels.groupBy("epoch").agg(F.min("mjd").alias("mjd"), (F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"), F.count("*").alias("n"))
+    frames = number_rows(frames.withColumn("mjd", F.coalesce("mjd", F.col("epoch").cast("double"))), "mjd", "epoch").withColumnRenamed("number", "position")
+    first = frames.filter("position = 1").select(F.struct("ny", "nx", "n").alias("first_"))
+    return frames.join(F.broadcast(first)).withColumn("consistent", F.struct("ny", "nx", "n") == F.col("first_")).drop("first_")
+
+
+def survey_planes(science: DataFrame, keys: list[str], mask: DataFrame | None = None, noise: DataFrame | None = None, kind: str = "error", bits: int | None = None, saturation: float | None = None) -> DataFrame:
+    """Science pixels (keys, value) with ``bad`` and ``sigma`` from a mask plane (column bits) and a noise plane (column noise).
+
+    Any mask bit is bad, or only the chosen ``bits``; a weight of zero or less, or none, is bad and has no sigma; so is a value at or above ``saturation`` bad.
+    """
+    if kind not in ("error", "variance", "weight"):
+        raise ValueError(f"unknown noise plane {kind!r}")
+    rows, bad = science, F.coalesce(F.col("value").isNull(), F.lit(True))
+    if mask is not None:
+        rows = rows.join(mask.select(*keys, F.col("bits").alias("bits_")), keys, "left")
+        held = F.coalesce("bits_", F.lit(0))
+        bad = bad | ((held if bits is None else held.bitwiseAND(bits)) != 0)
+    sigma = F.lit(None).cast("double")
+    if noise is not None:
+        rows = rows.join(noise.select(*keys, F.col("noise").alias("noise_")), keys, "left")
+        level = F.col("noise_")
+        sigma = {"error": level, "variance": F.sqrt(F.greatest(level, F.lit(0.0))), "weight": F.when(level > 0, 1 / F.sqrt(level))}[kind]
+        if kind == "weight":
+            bad = bad | ~F.coalesce(level > 0, F.lit(False))
+    if saturation is not None:
+        bad = bad | F.coalesce(F.col("value") >= saturation, F.lit(False))
+    return rows.withColumns({"bad": bad, "sigma": sigma}).drop("bits_", "noise_")

@@ -17,7 +17,7 @@ CHECKED = [
     "sca12_distances", "prj03_renumber", "prj09_gated_colours", "join03_nearest_known", "join05_mutual_nearest", "join12_overlaps", "join15_catalog_comparison",
     "join19_enclosing_cone", "agg03_number_counts", "agg49_calibration_errors", "agg58_ranking_auc", "agg29_gini", "agg30_m20", "win12_stencil_mean", "model09_components", "top07_vetting_queue",
     "agg12_mode_estimate", "agg13_background", "agg19_flux_scale", "join20_calibration", "agg26_petrosian_radius", "agg36_phase_winding", "agg37_ring_completeness", "prj12_cutouts", "join09_hosts",
-    "agg07_nearest_neighbours", "win17_sky_lines", "agg22_label_sizes",
+    "agg07_nearest_neighbours", "win17_sky_lines", "agg22_label_sizes", "agg32_concentration", "model18_colour_grid", "model25_sersic_scan", "agg55_annotate", "src17_survey_planes", "udf03_tiled_maxima",
 ]
 
 
