@@ -97,10 +97,14 @@ def chance_triples(points: DataFrame, tolerance: float, area: float) -> DataFram
     return triples.agg(F.sum(F.col("n0") * F.col("n1") * F.col("n2") * (math.pi * tolerance**2 / area)).alias("expected"))
 
 
-def azimuthal_span(points: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("angle")
-    gap = F.coalesce(F.lead("angle").over(w) - F.col("angle"), 360 + F.first("angle").over(w) - F.col("angle"))
-    return points.withColumn("gap", gap).groupBy(key).agg((360 - F.max("gap")).alias("span"))
+def azimuthal_span(points: DataFrame, key: str, sectors: int = 3600) -> DataFrame:
+    """360 degrees less the largest gap between neighbouring angles: gaps inside each sector, then between the sectors' ends."""
+    turns = points.select(key, "angle").filter("angle IS NOT NULL").distinct().withColumn("sector", F.floor(F.col("angle") * (sectors / 360)))
+    within = F.col("angle") - F.lag("angle").over(Window.partitionBy(key, "sector").orderBy("angle"))
+    ends = turns.withColumn("gap", within).groupBy(key, "sector").agg(F.min("angle").alias("first"), F.max("angle").alias("last"), F.max("gap").alias("gap"))
+    w = Window.partitionBy(key).orderBy("sector")
+    after = F.coalesce(F.lead("first").over(w), 360 + F.first("first").over(w)) - F.col("last")
+    return ends.withColumn("after", after).groupBy(key).agg((360 - F.max(F.greatest("gap", "after"))).alias("span"))
 
 
 def merge_epochs(points: DataFrame, radius: float) -> DataFrame:

@@ -136,11 +136,14 @@ def apertures(sources: DataFrame, pixels: DataFrame, key: str, radius: float, si
 
 
 def hold_one_out(pixels: DataFrame) -> DataFrame:
-    """Each pixel against the median of the other epochs: one list per sky pixel, no loop over epochs."""
-    lists = pixels.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("value", "epoch"))).alias("all"))
-    rows = pixels.join(lists, ["y", "x"])
-    others = F.filter("all", lambda p: p["epoch"] != F.col("epoch"))
-    rows = rows.withColumn("others", F.transform(others, lambda p: p["value"]))
-    n = F.size("others")
-    middle = (F.element_at("others", F.floor((n + 1) / 2).cast("int")) + F.element_at("others", F.floor(n / 2).cast("int") + 1)) / 2
-    return rows.withColumn("residual", F.col("value") - F.when(n > 0, middle)).drop("all", "others")
+    """Each pixel against the median of the other epochs: three middle values of its sky pixel and its own rank say it."""
+    w = Window.partitionBy("y", "x")
+    rank = F.row_number().over(w.orderBy(F.asc_nulls_last("value"), "epoch"))
+    rows = pixels.withColumns({"rank_": rank, "others_": F.count("value").over(w) - 1})
+    low = F.floor((F.col("others_") + 1) / 2)
+    rows = rows.withColumns({f"v{i}_": F.max(F.when(F.col("rank_") == low + i, F.col("value"))).over(w) for i in range(3)})
+    high = low + (F.col("others_") % 2 == 0).cast("int")
+    at = lambda place: F.when(place == low, F.col("v0_")).when(place == low + 1, F.col("v1_")).otherwise(F.col("v2_"))
+    skip = lambda place: place + (place >= F.col("rank_")).cast("int")
+    middle = (at(skip(low)) + at(skip(high))) / 2
+    return rows.withColumn("residual", F.col("value") - F.when(F.col("others_") > 0, middle)).drop("rank_", "others_", "v0_", "v1_", "v2_")

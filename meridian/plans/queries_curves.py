@@ -83,7 +83,8 @@ def _(v):
 
 @query("agg10_robust_scale", "detections", "SELECT band, median(flux) AS location, 1.4826 * median(abs(flux - m)) AS scale FROM (SELECT *, median(flux) OVER (PARTITION BY band) AS m FROM detections) GROUP BY band", "location scale")
 def _(v):
-    rows = v.detections.withColumn("m", F.median("flux").over(Window.partitionBy("band")))
+    middle = v.detections.groupBy("band").agg(F.median("flux").alias("m"))
+    rows = v.detections.join(middle, "band")
     return rows.groupBy("band").agg(F.median("flux").alias("location"), (L.MAD_SIGMA * F.median(F.abs(F.col("flux") - F.col("m")))).alias("scale"))
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.operators import learn, photoz, profiles, spectra
+from meridian.operators import learn, linking, photoz, pixels, profiles, spectra
 from meridian.operators import population as N
 from meridian.sources import tables
 
@@ -112,3 +112,19 @@ def test_tiles_give_the_same_as_the_whole(spark):
 
     got = profiles.per_tile(pixels, "epoch", 7, 3, doubled, "epoch long, y int, x int, value double")
     assert got.count() == grid.size and got.agg(F.sum("value")).first()[0] == pytest.approx(2 * grid.sum())
+
+
+def test_hold_one_out_equals_median_of_the_others(spark):
+    rng = np.random.default_rng(8)
+    rows = [(e, 0, x, float(rng.integers(0, 4)), 1.0) for x, n in ((0, 1), (1, 2), (2, 5), (3, 6)) for e in range(n)]
+    got = pixels.hold_one_out(spark.createDataFrame(rows, "epoch long, y int, x int, value double, rms double")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        others = [v for e, _, x, v, _ in rows if x == r["x"] and e != r["epoch"]]
+        assert r["residual"] == (r["value"] - np.median(others) if others else None)
+
+
+def test_azimuthal_span_of_repeats_and_one_angle(spark):
+    rows = [(1, 10.0), (1, 10.0), (1, 10.02), (1, 200.0), (2, 5.0), (3, None)]
+    got = {r["k"]: r["span"] for r in linking.azimuthal_span(spark.createDataFrame(rows, "k int, angle double"), "k").collect()}
+    assert got == {1: pytest.approx(360 - 189.98), 2: pytest.approx(0.0)}
