@@ -11,6 +11,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .pieces import Pieces, encode_documents
 from .secrets import RULES, find_secrets
+from .simhash import simhash_groups
 from .substring_dedup import drop_repeats
 from .warc import round_trip
 
@@ -57,7 +58,14 @@ def op10_lm_score(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op7_suffix_dedup, op8_nearest, op9_sentencepiece, op10_lm_score)}
+def op13_simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op7_suffix_dedup, op8_nearest, op9_sentencepiece, op10_lm_score, op13_simhash)
+}
 
 
 def _span_sql() -> str:
