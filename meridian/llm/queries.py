@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .divergence import divergences
 from .exact_dedup import duplicate_groups
 from .gru import score_documents
 from .langid import identify
@@ -10,6 +11,7 @@ from .nearest import nearest
 from .ngram_join import near_duplicates
 from .packing import pack
 from .pieces import Pieces, encode_documents
+from .repair import damage_and_repair
 from .secrets import RULES, find_secrets
 from .simhash import simhash_groups
 from .substring_dedup import drop_repeats
@@ -58,13 +60,21 @@ def op10_lm_score(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op7_suffix_dedup, op8_nearest, op9_sentencepiece, op10_lm_score, op13_simhash)
+    for f in (op1_language_id, op2_ngram_join, op3_exact_dedup, op4_packing, op5_warc, op6_secret_scan, op7_suffix_dedup, op8_nearest, op9_sentencepiece, op10_lm_score, op11_source_divergence, op12_conversation_repair, op13_simhash)
 }
 
 
