@@ -100,6 +100,39 @@ def suppress(rows: DataFrame, conflicts: DataFrame, key: str = "id") -> DataFram
     return rows if gone is None else rows.join(gone.select(F.col("loser").alias(key)), key, "left_anti")
 
 
+def soft_suppress(boxes: DataFrame, overlaps: DataFrame, sigma: float = 0.5, least: float = 0.05, key: str = "id") -> DataFrame:
+    """(key, score, taken, place): overlapping boxes lose score instead of being dropped.
+
+    ``boxes`` is (key, score), ``overlaps`` (a, b, iou) names each overlapping pair once. From the highest score down (equal scores: the
+    smaller key), a box of at least ``least`` is taken and every box it overlaps, not taken yet, is multiplied by exp(-iou^2 / sigma).
+    Scores only fall, so a box above all its neighbours is taken before any of them: each round takes all such boxes
+    and passes their factors on. ``place`` is the order in which a serial loop takes them, null for the others.
+    """
+    factor = F.exp(-F.col("iou") * F.col("iou") / max(sigma, 1e-6)).alias("factor")
+    edges = overlaps.filter("a <> b")
+    edges = cut(edges.select("a", "b", factor).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), factor)))
+    live = cut(boxes.select(F.col(key).alias("id"), F.col("score").cast("double").alias("score")))
+    parts = []
+    while not live.filter(F.col("score") >= least).isEmpty():
+        # edges between boxes not taken, with both scores; a box of enough score that none of them beats is taken
+        both = edges.join(live.select(F.col("id").alias("a"), F.col("score").alias("sa")), "a").join(live.select(F.col("id").alias("b"), F.col("score").alias("sb")), "b")
+        both = cut(both.filter((F.col("sa") >= least) | (F.col("sb") >= least)))
+        beaten = both.filter("sb > sa OR sb = sa AND b < a").select(F.col("a").alias("id")).distinct()
+        won = cut(live.filter(F.col("score") >= least).join(beaten, "id", "left_anti"))
+        hits = both.join(won.select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sa")).alias("s"), "a", "factor"))).alias("hits"))
+        rest = live.join(won.select("id"), "id", "left_anti").join(hits, "id", "left")
+        score = F.aggregate(F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)), F.col("score"), lambda x, h: x * h["factor"])
+        parts.append(won.withColumn("taken", F.lit(True)))
+        edges, live = both.select("a", "b", "factor"), cut(rest.select("id", score.alias("score")))
+    parts.append(live.withColumn("taken", F.lit(False)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = cut(out)
+    order = number_rows(out.filter("taken").select((-F.col("score")).alias("s"), "id"), "s", "id").select("id", F.col("number").alias("place"))
+    return out.join(order, "id", "left").withColumnRenamed("id", key)
+
+
 def box_overlaps(boxes: DataFrame, cell_size: float, other: DataFrame | None = None, frame: str = "frame_id") -> DataFrame:
     """Pairs of overlapping boxes (id, x_min...) of a frame with their IoU; both are put into every cell they touch."""
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_odds
-from ..operators import learn
+from ..operators import density, learn
 from .registry import query
 
 
@@ -66,3 +66,16 @@ def _(v):
 def _(v):
     a, b = learn.platt(v.scored_labels)
     return v.scored_labels.select("doc_id", (1 / (1 + F.exp(-(a * log_odds(F.col("score")) + b)))).alias("calibrated"))
+
+
+@query("model07_hdbscan")
+def _(v):
+    return density.hdbscan(_x(v), "vec_id")
+
+
+@query("agg56_silhouette", "", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), s AS (SELECT label, count(*) AS n FROM v GROUP BY label),
+m AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) / (any_value(n) - CASE WHEN a.label = b.label THEN 1 ELSE 0 END) AS mean FROM v a JOIN v b ON true JOIN s ON s.label = b.label WHERE a.label <> b.label OR n > 1 GROUP BY a.vec_id, a.label, b.label),
+p AS (SELECT vec_id, max(mean) FILTER (label = other) AS a, min(mean) FILTER (label <> other) AS b FROM m GROUP BY vec_id)
+SELECT avg((b - a) / greatest(a, b, 1e-12)) AS silhouette, count(*) AS n FROM p WHERE a IS NOT NULL AND b IS NOT NULL""", "silhouette")
+def _(v):
+    return density.silhouette(_x(v), "vec_id", "label")

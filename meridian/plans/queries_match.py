@@ -218,3 +218,12 @@ def _(v):
 
 
 
+
+
+@query("join13_soft_suppression")
+def _(v):
+    """Scores relative to the largest, so that the usual threshold of 0.05 applies."""
+    boxes = v.boxes.withColumnRenamed("box_id", "id")
+    top = v.boxes.agg(F.max("score")).first()[0]
+    pairs = match.box_overlaps(boxes.drop("score"), 32.0).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
+    return match.soft_suppress(boxes.select("id", (F.col("score") / float(top or 1.0)).alias("score")), pairs).withColumnRenamed("id", "box_id")

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import horner, magnitude
 from ..operators import fit, linking, match
+from ..operators import lines as L
 from ..operators import pixels as P
+from ..operators import redshift as Z
 from ..operators import spectra as S
 from .registry import query
 
@@ -67,3 +69,48 @@ def _(v):
 def _(v):
     t = linking.drop_shared(linking.link(v.epoch_detections, 3.0, 3))
     return t.select("tracklet_id", "n_points", "rms")
+
+
+def _long(v):
+    """Spectra of 512 pixels cut from the detections, so that their number grows with the table."""
+    pix = F.pmod("detection_id", F.lit(512))
+    return v.detections.select(F.floor(F.col("detection_id") / 512).cast("long").alias("spec_id"), pix.alias("pix"), (3700 + 6.0 * pix).alias("wavelength"), "flux", F.col("flux_err").alias("error"))
+
+
+def _templates(v):
+    """Four of them as templates, the first a star, each moved to rest from a redshift of its own."""
+    t = _long(v).filter("spec_id < 4")
+    kind = F.when(F.col("spec_id") == 0, "star").otherwise("galaxy")
+    wavelength = F.col("wavelength") / (1 + 0.02 * F.col("spec_id"))
+    return t.select(F.concat(F.lit("t"), F.col("spec_id")).alias("template"), kind.alias("kind"), "pix", wavelength.alias("wavelength"), "flux", "error")
+
+
+@query("model19_redshift")
+def _(v):
+    found = Z.redshifts(_long(v), _templates(v), (-0.005, 0.4))
+    return found.withColumn("flags", F.concat_ws("|", "flags"))
+
+
+@query("model21_line_fluxes")
+def _(v):
+    spectra = S.continuum(_long(v), 75, 4)
+    known = spectra.select("spec_id").distinct().withColumn("z", F.pmod("spec_id", F.lit(7)) * 0.02)
+    return L.fit_lines(spectra, known).withColumn("flags", F.concat_ws("|", "flags"))
+
+
+@query("model23_line_votes", "spectra", f"""WITH {PEAKS}, l AS (SELECT 3990.0 + 13 * range + (range % 5) * 3 AS x FROM range(12)), c AS (SELECT list(x ORDER BY x) AS xs FROM l),
+k AS (SELECT spec_id, list(centre ORDER BY centre) AS ps FROM p GROUP BY spec_id HAVING count(*) >= 2),
+pair AS (SELECT spec_id, ps, i, j, ps[i + 1] AS p, ps[j + 1] AS q FROM (SELECT *, unnest(range(len(ps))) AS i FROM k), LATERAL (SELECT unnest(range(i + 1, len(ps))) AS j) WHERE ps[j + 1] - ps[i + 1] >= 0.15 * greatest(ps[len(ps)] - ps[1], 1)),
+v AS (SELECT pair.*, a, b, (xs[b + 1] - xs[a + 1]) / (q - p) AS scale, xs[a + 1] - (xs[b + 1] - xs[a + 1]) / (q - p) * p AS shift, xs FROM pair, c, (SELECT range AS a FROM range(12)), (SELECT range AS b FROM range(12)) WHERE a < b),
+w AS (SELECT *, list_filter(list_transform(ps, lambda y: list_min(list_transform(xs, lambda x: abs(scale * y + shift - x)))), lambda d: d < 4) AS close FROM v WHERE scale BETWEEN 0.2 AND 40),
+r AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY len(close) DESC, round(coalesce(list_sum(close), 0), 9), i, j, a, b) AS r FROM w)
+SELECT spec_id, scale, shift AS "offset", CAST(len(close) AS INTEGER) AS hits, coalesce(list_sum(close), 0) AS misfit FROM r WHERE r = 1""", "scale offset misfit".replace("offset", '"offset"'))
+def _(v):
+    lines = [3990.0 + 13 * i + (i % 5) * 3 for i in range(12)]
+    return L.vote_linear(S.peaks(v.spectra).select("spec_id", "centre"), lines, 4.0)
+
+
+@query("model24_dispersion")
+def _(v):
+    known = _long(v).select("spec_id").distinct().withColumn("z", F.pmod("spec_id", F.lit(4)) * 0.02)
+    return Z.dispersions(_long(v), known, _templates(v).filter("template = 't1'"))
