@@ -175,8 +175,7 @@ def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    rows = [*rows, (700, words(np.random.default_rng(4), 3000), "en", "s", 0, "x", None), *[(None, "again", "en", "s", 0, "x", None)] * 9]
+    rows = [*rows, (701, "end<|endoftext|> of <|endoftext|><|endoftext|>text <|endo", "en", "s", 0, "x", None), (700, words(np.random.default_rng(4), 3000), "en", "s", 0, "x", None), *[(None, "again", "en", "s", 0, "x", None)] * 9]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = packing.pack(docs, group=8).toPandas()
     assert got.start.max() > 1024
@@ -197,7 +196,6 @@ def test_ranks_equal_tokenizer(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     assert packing.encoder()(text) == t.encode(text, add_special_tokens=False).ids
 
 
@@ -442,7 +440,6 @@ def test_pipeline(spark, rows, tmp_path):
             least[find(k)] = min(least.get(find(k), 1 << 60), i)
     docs = [(i, t) for k, (i, t) in enumerate(docs) if i is None or i == least[find(k)]]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, t in docs:
         spans = []
