@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .match import number_rows
+from .quantiles import quantiles
 from .rounds import components, cut
 
 BLOCK = 4096
@@ -134,17 +135,6 @@ def spanning_tree(rows: DataFrame, min_samples: int, lists: int = 0, block: int
     return tree, ends
 
 
-def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float]:
-    """Exact quantiles with linear interpolation, from ranks over a distributed sort; only the values asked for reach the driver."""
-    ranked = cut(number_rows(rows.select(column), column))
-    n = ranked.count()
-    at = [s * (n - 1) for s in shares]
-    wanted = sorted({int(np.floor(h)) + 1 for h in at} | {int(np.ceil(h)) + 1 for h in at})
-    value = {r["number"]: r[column] for r in ranked.filter(F.col("number").isin(wanted)).collect()}
-    low = [(value[int(np.floor(h)) + 1], value[int(np.ceil(h)) + 1], h - np.floor(h)) for h in at]
-    return [float(a + (b - a) * f) for a, b, f in low]
-
-
 def hdbscan(rows: DataFrame, key: str, min_cluster_size: int = 5, min_samples: int | None = None, block: int = BLOCK) -> DataFrame:
     """(key, cluster, probability): clusters of the spanning tree cut at the most stable of 13 quantiles of its edges, -1 for noise.
 

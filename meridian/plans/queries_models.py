@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.columns import magnitude
-from ..operators import learn, photoz
+from ..operators import boosting, learn, photoz
 from ..operators import pixels as P
 from .registry import query
 
@@ -77,3 +77,32 @@ def _(v):
     period = L.periods(worth, "object_truth").select("object_truth", "period", "false_alarm_probability")
     out = scored.join(period, "object_truth", "left")
     return out.select("object_truth", "score", "period", "false_alarm_probability", (F.col("score") > 0.5).alias("variable"), F.coalesce(F.col("false_alarm_probability") < 0.01, F.lit(False)).alias("periodic"))
+
+
+_SHAPE = ["concentration", "asymmetry", "gini", "m20", "ellipticity", "r50"]
+
+
+def _shapes(v):
+    return v.sources.select("source_id", F.array(*_SHAPE).alias("x"), F.col("class").alias("label"))
+
+
+@query("model10_boosted_trees")
+def _(v):
+    """Classes of all sources by their shapes, from a model fitted on all of them."""
+    return boosting.score_boosted(_shapes(v), "source_id", boosting.fit_boosted(_shapes(v)))
+
+
+@query("model10_importances")
+def _(v):
+    model = boosting.fit_boosted(_shapes(v), rounds=20)
+    rows = [(name, float(share)) for name, share in zip(_SHAPE, model.importance(), strict=True)]
+    return v.spark.createDataFrame(rows, "feature string, importance double")
+
+
+@query("model15_shapley")
+def _(v):
+    """Why each source without a class is given the class it is given by a model of those that have one."""
+    rows = _shapes(v)
+    known = rows.filter("label <> 'unknown'")
+    model = boosting.fit_boosted(known, rounds=20)
+    return boosting.shapley(rows.filter("label = 'unknown'"), "source_id", known, model.predict_proba, _SHAPE)

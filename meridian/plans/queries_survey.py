@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import magnitude
-from ..operators import learn, match, photoz, profiles
+from ..operators import growth, learn, locus, match, photoz, population, profiles, quantiles
 from ..operators import pixels as P
-from ..operators import population as N
 from ..operators import spectra as S
 from ..operators.rounds import shared_folder
 from ..sources import tables
@@ -105,7 +104,7 @@ AT_03 = f"(SELECT {DC_SQL} AS d FROM (SELECT CAST(0.3 AS DOUBLE) AS z))"
 b AS (SELECT unnest(range((SELECT min(k) FROM c), (SELECT max(k) FROM c) + 1)) AS k)
 SELECT b.k * 0.5 AS bin, coalesce(n0, 0) AS n, 1e6 * coalesce(n0, 0) / ((SELECT 4.0 / 3 * pi() * pow(d, 3) * 100 / 41252.96 FROM d) * 0.5) AS phi FROM b LEFT JOIN c ON b.k = c.k""", "bin phi")
 def _(v):
-    return N.luminosity_function(v.sources, magnitude(F.col("flux")), 0.3, 100.0, COSMOS).withColumn("phi", F.col("phi") * 1e6)
+    return population.luminosity_function(v.sources, magnitude(F.col("flux")), 0.3, 100.0, COSMOS).withColumn("phi", F.col("phi") * 1e6)
 
 
 @query("agg55_annotate", "sources", f"""WITH s AS (SELECT *, CASE WHEN source_id % 4 <> 0 THEN redshift END AS photoz FROM sources), a AS (SELECT *, coalesce(photoz, CASE WHEN class = 'galaxy' THEN CAST(0.1 AS DOUBLE) END) AS z FROM s),
@@ -114,7 +113,7 @@ SELECT source_id, a.z, CASE WHEN photoz IS NOT NULL THEN CASE WHEN source_id % 3
 2 * semi_major * 0.4 AS angular_arcsec, 2 * semi_major * 0.4 * d / (1 + a.z) * 1000 * pi() / 648000 AS size_kpc, 25 - 2.5 * log10(flux) - 5 * log10(d * (1 + a.z) * 1e5) AS absolute_mag, lookback AS lookback_gyr FROM a LEFT JOIN g ON g.z = a.z""", "z angular_arcsec size_kpc absolute_mag lookback_gyr")
 def _(v):
     rows = v.sources.withColumns({"photoz": F.when(F.col("source_id") % 4 != 0, F.col("redshift")), "reliable": F.col("source_id") % 3 != 0})
-    out = N.annotate(rows, COSMOS, 0.4, F.col("class") == "galaxy", magnitude(F.col("flux")), None, 0.1)
+    out = population.annotate(rows, COSMOS, 0.4, F.col("class") == "galaxy", magnitude(F.col("flux")), None, 0.1)
     return out.select("source_id", "z", "redshift_source", "angular_arcsec", "size_kpc", "absolute_mag", "lookback_gyr")
 
 
@@ -125,7 +124,7 @@ def _(v):
     truth = b.select("id", "frame_id", *[(F.col(c) + shift).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")])
     over = match.box_overlaps(b, 16.0, truth).filter("iou >= 0.5")
     best = match.globally_best(over.select("a_id", "b_id", F.round("iou", 9).alias("iou")), "iou")
-    return N.average_precision(v.boxes.select(F.col("box_id").alias("id"), "score"), best.select(F.col("a_id").alias("id")), truth.count())
+    return population.average_precision(v.boxes.select(F.col("box_id").alias("id"), "score"), best.select(F.col("a_id").alias("id")), truth.count())
 
 
 @query("src16_series_frames", "pixels", """WITH f AS (SELECT epoch, min(mjd) AS mjd, max(y) + 1 AS ny, max(x) + 1 AS nx, count(*) AS n FROM pixels GROUP BY epoch), r AS (SELECT *, row_number() OVER (ORDER BY mjd, epoch) AS position FROM f)
@@ -182,3 +181,69 @@ def _(v):
     kept = jobs.distinct_alerts(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     kept.awaitTermination()
     return v.spark.read.schema(twice.schema).parquet(f"{folder}/out").select("candid", "flux")
+
+
+@query("agg28_field_growth")
+def _(v):
+    """The growth curve of every frame from its brightest placed sources; a frame is 20 pixels wide, so stars reach a fifth of that."""
+    light = v.sources.select("source_id", (F.col("flux") / F.col("flux_err")).alias("snr"))
+    stars = _placed(v).join(light, "source_id").select("epoch", F.col("source_id").alias("star"), F.col("sx").alias("x"), F.col("sy").alias("y"), "snr")
+    return growth.growth_curve(growth.star_curves(stars, v.pixels, "epoch", 4.0), "epoch")
+
+
+def _colours(v):
+    """Two colours, a stellarity and the signal to noise of every object with light in g, r and i."""
+    mean = v.detections.filter("flux > 0").groupBy(F.col("object_truth").alias("id")).pivot("band", ["g", "r", "i"]).agg(F.avg("flux"))
+    snr = v.detections.filter("flux > 0").groupBy(F.col("object_truth").alias("id")).agg(F.avg(F.col("flux") / F.col("flux_err")).alias("snr"))
+    rows = mean.filter("g IS NOT NULL AND r IS NOT NULL AND i IS NOT NULL").join(snr, "id")
+    return rows.select("id", (-2.5 * F.log10(F.col("g") / F.col("r"))).alias("x"), (-2.5 * F.log10(F.col("r") / F.col("i"))).alias("y"), (F.pmod(F.col("id") * 7, F.lit(11)) / 10.0).alias("stellarity"), "snr")
+
+
+_COLOURS = """m AS (SELECT object_truth AS id, avg(flux) FILTER (band = 'g') AS g, avg(flux) FILTER (band = 'r') AS r, avg(flux) FILTER (band = 'i') AS i, avg(flux / flux_err) AS snr FROM detections WHERE flux > 0 GROUP BY object_truth),
+c AS (SELECT id, -2.5 * log10(g / r) AS x, -2.5 * log10(r / i) AS y, ((id * 7) % 11) / 10.0 AS stellarity, snr FROM m WHERE g IS NOT NULL AND r IS NOT NULL AND i IS NOT NULL),
+grid AS (SELECT list(-2.6 + 5.2 / 127 * range) AS gx FROM range(128)),
+d AS (SELECT id, x, y, stellarity, log10(snr) AS key, list_min(list_transform(gx, lambda a: sqrt(pow(a - x, 2) + pow(0.1 - 0.2 * a - y, 2)))) AS d FROM c, grid)"""
+
+
+@query("agg42_stellar_locus")
+def _(v):
+    found = locus.fit_locus(_colours(v))
+    rows = [(i, float(c), found.n_stars, found.low, found.high, found.scatter) for i, c in enumerate(found.coefficients)] if found else []
+    return v.spark.createDataFrame(rows, "term int, coefficient double, n_stars long, low double, high double, scatter double")
+
+
+@query("agg43_population_widths", "detections", f"""WITH {_COLOURS}, k AS (SELECT *, CASE WHEN stellarity >= 0.6 THEN 1 WHEN stellarity <= 0.3 THEN 0 END AS star FROM d), e AS (SELECT quantile_cont(key, [0.0, 1.0 / 3, 2.0 / 3, 1.0]) AS q FROM k WHERE star = 1),
+b AS (SELECT k.*, CASE WHEN key > q[1] - 1e-6 AND key <= q[2] THEN 0 WHEN key > q[2] AND key <= q[3] THEN 1 WHEN key > q[3] AND key <= q[4] THEN 2 END AS bin FROM k, e WHERE star IS NOT NULL),
+l AS (SELECT star, bin, quantile_cont(d, 0.9) AS lim, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY ALL)
+SELECT b.star, b.bin, sqrt(avg(b.d * b.d) / 2) AS width, any_value(l.n) AS n FROM b JOIN l ON b.star = l.star AND b.bin = l.bin WHERE l.n < 5 OR b.d <= l.lim GROUP BY ALL""", "width")
+def _(v):
+    """Widths about a given straight locus, in bins of the stars' signal to noise."""
+    line = locus.Locus([-0.2, 0.1], -2.0, 2.0)
+    star = F.when(F.col("stellarity") >= locus.STAR, 1).when(F.col("stellarity") <= locus.GALAXY, 0)
+    rows = _colours(v).select(line.distance(F.col("x"), F.col("y")).alias("d"), F.log10("snr").alias("key"), star.alias("star")).filter("star IS NOT NULL")
+    q = quantiles.quantiles(rows.filter("star = 1"), "key", [0.0, 1 / 3, 2 / 3, 1.0])
+    key = F.col("key")
+    bins = F.when((key > q[0] - 1e-6) & (key <= q[1]), 0).when((key > q[1]) & (key <= q[2]), 1).when((key > q[2]) & (key <= q[3]), 2)
+    return locus.rayleigh_widths(rows.withColumn("bin", bins).filter("bin IS NOT NULL"), ["star", "bin"])
+
+
+@query("agg43_separation", "detections", f"""WITH {_COLOURS}, k AS (SELECT *, CASE WHEN stellarity >= 0.6 THEN 1 WHEN stellarity <= 0.3 THEN 0 END AS star FROM d),
+w AS (SELECT star, d FROM k WHERE star IS NOT NULL),
+p AS (SELECT star, 0.95 * d / pow(0.25, 2) * exp(-0.5 * pow(d / 0.25, 2)) + 0.05 * d / pow(1.4, 2) * exp(-0.5 * pow(d / 1.4, 2)) AS a, 0.95 * d / pow(0.35, 2) * exp(-0.5 * pow(d / 0.35, 2)) + 0.05 * d / pow(1.4, 2) * exp(-0.5 * pow(d / 1.4, 2)) AS b FROM w),
+t AS (SELECT star, round(least(greatest(a / (a + b), 0.08), 0.92), 9) AS v FROM p),
+u AS (SELECT v, count(*) FILTER (star = 1) AS s, count(*) FILTER (star = 0) AS g FROM t GROUP BY v), o AS (SELECT *, coalesce(sum(g) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM u)
+SELECT sum(s * (below + 0.5 * g)) / (sum(s) * sum(g)) AS auc FROM o""", "auc")
+def _(v):
+    """How well colours of given widths tell stars from galaxies about a given locus."""
+    line = locus.Locus([-0.2, 0.1], -2.0, 2.0, centres=[-9.0], star_width=[0.25], galaxy_width=[0.35])
+    star = F.when(F.col("stellarity") >= locus.STAR, 1).when(F.col("stellarity") <= locus.GALAXY, 0)
+    rows = _colours(v).select(F.round(line.stellarity(F.col("x"), F.col("y"), F.col("snr")), 9).alias("score"), star.alias("star")).filter("star IS NOT NULL AND score IS NOT NULL")
+    return population.auc(rows, "score", "star")
+
+
+@query("sca21_colour_stellarity", "detections", f"""WITH {_COLOURS}, p AS (SELECT id, d, 0.95 * d / pow(0.25, 2) * exp(-0.5 * pow(d / 0.25, 2)) + 0.05 * d / pow(1.4, 2) * exp(-0.5 * pow(d / 1.4, 2)) AS a, 0.95 * d / pow(0.35, 2) * exp(-0.5 * pow(d / 0.35, 2)) + 0.05 * d / pow(1.4, 2) * exp(-0.5 * pow(d / 1.4, 2)) AS b FROM d)
+SELECT id, d AS distance, least(greatest(a / (a + b), 0.08), 0.92) AS stellarity FROM p""", "distance stellarity")
+def _(v):
+    line = locus.Locus([-0.2, 0.1], -2.0, 2.0, centres=[-9.0], star_width=[0.25], galaxy_width=[0.35])
+    x, y = F.col("x"), F.col("y")
+    return _colours(v).select("id", line.distance(x, y).alias("distance"), line.stellarity(x, y, F.col("snr")).alias("stellarity"))
