@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import released
+
 ORDER = 3
 MAX_BYTES = 4_000_000
 MAX_BITS_PER_BYTE = 5.0
@@ -179,7 +181,7 @@ def fit(labelled: DataFrame, order: int = ORDER, max_bytes: int = MAX_BYTES) ->
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, max_bytes / max(1, sizes[lang])))])
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    parts = sample.select("text", number[F.col("lang")].alias("lang")).mapInPandas(_count_grams(order), "lang long, gram long, n long")
+    parts = sample.select("text", number[F.col("lang")].alias("lang")).mapInPandas(released(_count_grams(order)), "lang long, gram long, n long")
     return ContextTrees(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas(), langs, order)
 
 
@@ -210,10 +212,10 @@ def predict(docs: DataFrame, trees: ContextTrees, columns: list, prefix: str = "
     kept = docs.select(*columns).schema
     schema = StructType([*kept.fields, *[StructField(prefix + n, t()) for n, t in (("lang_pred", StringType), ("score", DoubleType), ("bits_per_byte", DoubleType))]])
     names = [f.name for f in schema]
-    return docs.select(*columns, F.lower(docs["text"]).alias("ppm text"), letter.alias("ppm letter")).mapInArrow(run, schema)
+    return docs.select(*columns, F.lower(docs["text"]).alias("ppm text"), letter.alias("ppm letter")).mapInArrow(released(run), schema)
 
 
-def _by_size(rows: list[int], text, most: int = 4_000_000) -> Iterator[list[int]]:
+def _by_size(rows: list[int], text, most: int = 1_000_000) -> Iterator[list[int]]:
     """Runs of rows of about ``most`` bytes, to bound what a worker holds at once."""
     at, size = [], 0
     for i in rows:
