@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .match import mutual, plane_pairs, suppress
-from .rounds import components, cut
+from .quantiles import group_quantiles
+from .rounds import cut
 
 
 def hosts(candidates: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
@@ -51,30 +50,85 @@ def rate_class(rate: Column) -> Column:
     return F.when(rate < 1, "slow").when(rate < 10, "main_belt").otherwise("fast")
 
 
-def link(points: DataFrame, tolerance: float, min_points: int, max_rate: float = 400.0, max_rms: float = 2.0) -> DataFrame:
-    """Tracklets from epoch pairs: both ends predict the other epochs, where the nearest detection within tolerance joins.
+#: Fixed value: days beyond which constant velocity is no fair model.
+LONGEST_ARC = 1.5
 
-    Pairs come from a bucket join at the largest displacement that the rate allows; predictions are bucketed by tolerance.
+
+def epoch_times(points: DataFrame) -> DataFrame:
+    """(epoch, time, n, place): each epoch's median time and count, and its place in time; a row an epoch."""
+    per = group_quantiles(points, ["epoch"], "t", [0.5]).select("epoch", F.col("value").alias("time"), "n")
+    return cut(per.withColumn("place", F.row_number().over(Window.orderBy("time", "epoch"))))
+
+
+def link(points: DataFrame, tolerance: float, min_points: int, max_rate: float = 400.0, max_rms: float = 2.0, min_rate: float = 0.0, longest_arc: float = LONGEST_ARC) -> DataFrame:
+    """Tracklets from pairs of epochs: both ends predict the other epochs, where the nearest detection within tolerance joins.
+
+    Rates are pixels a day. Every pair of epochs has cells as wide as the rate carries in its own time step, so near epochs meet in
+    small ones; predictions meet detections in cells of the tolerance. Equal distances go to the smaller id. Fewer epochs than
+    ``min_points``, or an arc longer than ``longest_arc`` days, give no tracklets.
     """
-    p = points.select(F.col("det_id").alias("id"), "epoch", "t", "x", "y")
-    span = points.agg(F.max("t") - F.min("t")).first()[0] or 0.0
-    ends = plane_pairs(p, p, max(tolerance, max_rate * span)).select("a_id", "b_id")
-    a = p.select(F.col("id").alias("a_id"), F.col("epoch").alias("ea"), F.col("t").alias("ta"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = p.select(F.col("id").alias("b_id"), F.col("epoch").alias("eb"), F.col("t").alias("tb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    dt = F.col("tb") - F.col("ta")
-    pairs = ends.join(a, "a_id").join(b, "b_id").filter((F.col("ea") < F.col("eb")) & (dt > 0)).withColumns({"vx": (F.col("xb") - F.col("xa")) / dt, "vy": (F.col("yb") - F.col("ya")) / dt})
-    pairs = pairs.filter(F.hypot("vx", "vy") <= max_rate)
-    epochs = points.select("epoch", "t").distinct()
-    want = pairs.join(F.broadcast(epochs), (F.col("epoch") != F.col("ea")) & (F.col("epoch") != F.col("eb")))
-    want = want.select(F.concat_ws("-", "a_id", "b_id", "epoch").alias("id"), "a_id", "b_id", "epoch", (F.col("xa") + F.col("vx") * (F.col("t") - F.col("ta"))).alias("x"), (F.col("ya") + F.col("vy") * (F.col("t") - F.col("ta"))).alias("y"))
-    hits = plane_pairs(want, p, tolerance, ["epoch"]).groupBy(F.col("a_id").alias("want")).agg(F.min(F.struct(F.round("sep", 9).alias("r"), F.col("b_id").alias("hit"))).alias("m"))
-    hits = want.select(F.col("id").alias("want"), "a_id", "b_id").join(hits, "want").select("a_id", "b_id", F.col("m.hit").alias("hit"))
-    more = hits.groupBy("a_id", "b_id").agg(F.collect_list("hit").alias("hits"))
-    members = pairs.select("a_id", "b_id").join(more, ["a_id", "b_id"], "left")
-    found = members.select(F.array_sort(F.array_distinct(F.concat(F.array("a_id", "b_id"), F.coalesce("hits", F.array().cast("array<bigint>"))))).alias("members")).distinct()
-    found = found.filter(F.size("members") >= min_points).withColumn("tracklet_id", F.xxhash64("members"))
-    fit = linear_motion(found.select("tracklet_id", F.explode("members").alias("id")).join(p, "id"), "tracklet_id")
-    return found.join(fit, "tracklet_id").filter(F.col("reduced_rms") <= max_rms).withColumn("n_points", F.size("members"))
+    p = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select(F.col("det_id").alias("id"), "epoch", "t", "x", "y")
+    times = epoch_times(p)
+    few, arc = times.agg(F.count("*"), F.max("time") - F.min("time")).first()
+    if few < max(2, min_points) or arc > longest_arc:
+        p, times = p.limit(0), times.limit(0)
+    first, second = (times.select(F.col("epoch").alias(f"e{i}"), F.col("time").alias(f"t{i}"), F.col("place").alias(f"p{i}")) for i in (1, 2))
+    # a list of later epochs for each epoch, of the size of the epochs
+    later = second.agg(F.collect_list(F.struct("e2", "t2", "p2")).alias("all"))
+    steps = first.join(later).select("e1", "t1", F.explode(F.filter("all", lambda s: s["p2"] > F.col("p1"))).alias("s"))
+    steps = cut(steps.select("e1", "t1", "s.e2", "s.t2", (F.col("s.t2") - F.col("t1")).alias("gap")).filter("gap > 0").withColumn("reach", F.greatest(F.col("gap") * max_rate, F.lit(1e-6))))
+    a = p.select(F.col("id").alias("a_id"), F.col("epoch").alias("e1"), F.col("x").alias("xa"), F.col("y").alias("ya")).join(steps, "e1")
+    a = a.withColumns({"cx": F.floor(F.col("xa") / F.col("reach")), "cy": F.floor(F.col("ya") / F.col("reach"))})
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = p.select(F.col("id").alias("b_id"), F.col("epoch").alias("e2"), F.col("x").alias("xb"), F.col("y").alias("yb")).join(steps.select("e1", "e2", "reach"), "e2").withColumn("d", near)
+    b = b.select("b_id", "e1", "e2", "xb", "yb", (F.floor(F.col("xb") / F.col("reach")) + F.col("d.i")).alias("cx"), (F.floor(F.col("yb") / F.col("reach")) + F.col("d.j")).alias("cy"))
+    pairs = a.join(b, ["e1", "e2", "cx", "cy"]).withColumns({"vx": (F.col("xb") - F.col("xa")) / F.col("gap"), "vy": (F.col("yb") - F.col("ya")) / F.col("gap")})
+    pairs = cut(pairs.filter(F.hypot("vx", "vy").between(min_rate, max_rate)).select("a_id", "b_id", "e1", "e2", "t1", "xa", "ya", "vx", "vy"))
+    other = times.agg(F.collect_list(F.struct("epoch", "time")).alias("all"))
+    want = pairs.join(other).withColumn("o", F.explode(F.filter("all", lambda s: (s["epoch"] != F.col("e1")) & (s["epoch"] != F.col("e2")))))
+    ahead = F.col("o.time") - F.col("t1")
+    want = want.select("a_id", "b_id", F.col("o.epoch").alias("epoch"), (F.col("xa") + F.col("vx") * ahead).alias("px"), (F.col("ya") + F.col("vy") * ahead).alias("py"))
+    want = want.withColumns({"cx": F.floor(F.col("px") / tolerance), "cy": F.floor(F.col("py") / tolerance)})
+    found = p.withColumn("d", near).select(F.col("id").alias("hit"), "epoch", F.col("x").alias("hx"), F.col("y").alias("hy"), (F.floor(F.col("x") / tolerance) + F.col("d.i")).alias("cx"), (F.floor(F.col("y") / tolerance) + F.col("d.j")).alias("cy"))
+    hits = want.join(found, ["epoch", "cx", "cy"]).withColumn("sep", F.hypot(F.col("px") - F.col("hx"), F.col("py") - F.col("hy"))).filter(F.col("sep") <= tolerance)
+    hits = hits.groupBy("a_id", "b_id", "epoch").agg(F.min(F.struct(F.round("sep", 9).alias("r"), "hit")).alias("m"))
+    more = hits.groupBy("a_id", "b_id").agg(F.collect_list("m.hit").alias("hits"))
+    members = pairs.select("a_id", "b_id").join(more, ["a_id", "b_id"], "inner" if min_points > 2 else "left")
+    listed = F.array_sort(F.array_distinct(F.concat(F.array("a_id", "b_id"), F.coalesce("hits", F.array().cast("array<bigint>")))))
+    tracks = members.select(listed.alias("members")).distinct().filter(F.size("members") >= min_points).withColumn("tracklet_id", F.xxhash64("members"))
+    tracks = cut(tracks)
+    fit = linear_motion(tracks.select("tracklet_id", F.explode("members").alias("id")).join(p, "id"), "tracklet_id")
+    return tracks.join(fit, "tracklet_id").filter(F.coalesce("reduced_rms", "rms") <= max_rms).withColumn("n_points", F.size("members"))
+
+
+def expected_chance(counts: list[int], tolerance: float, area: float, min_points: int) -> float:
+    """Tracklets of unrelated detections to expect: each set of ``min_points`` epochs is completed from each of its pairs."""
+    if len(counts) < 2 or area <= 0:
+        return 0.0
+    sums = [1.0] + [0.0] * max(2, min_points)  # elementary symmetric sums of the epochs' counts
+    for n in counts:
+        for k in range(len(sums) - 1, 0, -1):
+            sums[k] += sums[k - 1] * n
+    k = max(2, min_points)
+    return math.comb(k, 2) * sums[k] * min(math.pi * tolerance**2 / area, 1.0) ** (k - 2)
+
+
+def score_tracklets(tracklets: DataFrame, points: DataFrame, tolerance: float, area: float, max_rms: float = 2.0) -> DataFrame:
+    """Adds ``score`` (epochs that agree, tightness of the fit, half the credit of a trail), ``chance`` and a flag for likely coincidences."""
+    size = points.agg(F.countDistinct("epoch").alias("epochs"), F.count("*").alias("n_all"))
+    rows = tracklets.join(size)  # one row
+    tight = 1 - F.least(F.greatest(F.coalesce("reduced_rms", "rms") / max(max_rms, 1e-6), F.lit(0.0)), F.lit(1.0))
+    score = F.least(0.55 * F.col("n_points") / F.greatest("epochs", F.lit(1)) + 0.30 * tight + 0.075, F.lit(1.0))
+    share = min(math.pi * tolerance**2 / area, 1.0)
+    chance = F.when(F.col("n_points") >= 3, F.least(F.pow(F.col("n_all") / F.col("epochs") * share, F.col("n_points") - 2), F.lit(1.0)))
+    return rows.withColumns({"score": score, "chance": chance}).withColumn("chance_plausible", F.coalesce(F.col("chance") > 0.1, F.lit(False))).drop("epochs", "n_all")
+
+
+def moving_objects(points: DataFrame, tolerance: float = 3.0, min_points: int = 3, max_rate: float = 400.0, max_rms: float = 2.0, area: float = 250_000.0, least_score: float = 0.55) -> DataFrame:
+    """Linked, deduplicated and scored tracklets of at least ``least_score``."""
+    found = link(points, tolerance, min_points, max_rate, max_rms)
+    kept = drop_shared(found).select("tracklet_id").join(found, "tracklet_id")
+    return score_tracklets(kept, points, tolerance, area, max_rms).filter(F.col("score") >= least_score)
 
 
 def drop_shared(tracklets: DataFrame) -> DataFrame:
@@ -108,23 +162,24 @@ def azimuthal_span(points: DataFrame, key: str, sectors: int = 3600) -> DataFram
 
 
 def merge_epochs(points: DataFrame, radius: float) -> DataFrame:
-    """Candidates over epochs: the first match within a radius joins an existing one, in order inside each connected group."""
-    p = points.select(F.col("det_id").alias("id"), "epoch", "x", "y", "real_bogus")
-    pairs = plane_pairs(p, p, radius).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    groups = components(pairs, p)
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in part.sort_values(["epoch", "id"]).itertuples():
-            own = next((k for k in kept if np.hypot(k[1] - r.x, k[2] - r.y) <= radius), None)
-            if own is None:
-                kept.append([r.id, r.x, r.y, {r.epoch}, r.real_bogus])
-            else:
-                own[3].add(r.epoch)
-                own[4] = max(own[4], r.real_bogus)
-        return pd.DataFrame([(k[0], len(k[3]), k[4], len(k[3]) >= 2) for k in kept], columns=["candidate_id", "n_epochs", "best_real_bogus", "multi_epoch"])
-
-    return p.join(groups, "id").groupBy("component").applyInPandas(fold, "candidate_id long, n_epochs int, best_real_bogus double, multi_epoch boolean")
+    """Candidates over epochs, in order of (epoch, id): one that lies within a radius of an earlier candidate's founder joins the first such, every other founds one.
+
+    Founders are what suppression in that order leaves, so the serial result comes from rounds of joins, however large a connected group
+    is. The best real/bogus value is kept with its epoch, and the significance is the largest of those that raised it.
+    """
+    p = cut(points.select(F.col("det_id").alias("id"), F.struct("epoch", F.col("det_id").alias("id")).alias("o"), "epoch", "x", "y", "real_bogus", "significance"))
+    orders = p.select("id", "o")
+    pairs = plane_pairs(p, p, radius).select("a_id", "b_id").join(orders.select(F.col("id").alias("a_id"), F.col("o").alias("oa")), "a_id").join(orders.select(F.col("id").alias("b_id"), F.col("o").alias("ob")), "b_id")
+    pairs = cut(pairs.filter("oa < ob"))
+    founders = cut(suppress(p.select("id"), pairs.select(F.col("a_id").alias("winner"), F.col("b_id").alias("loser"))))
+    joins = pairs.join(founders.select(F.col("id").alias("a_id")), "a_id").join(founders.select(F.col("id").alias("b_id")), "b_id", "left_anti")
+    joins = joins.groupBy(F.col("b_id").alias("id")).agg(F.min_by("a_id", "oa").alias("candidate_id"))
+    rows = p.join(founders.withColumn("candidate_id", F.col("id")).unionByName(joins), "id")
+    before = F.max("real_bogus").over(Window.partitionBy("candidate_id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("raised", F.coalesce(F.col("real_bogus") > before, F.lit(True)))
+    best = F.min_by("epoch", F.struct((-F.col("real_bogus")).alias("r"), "o"))
+    out = rows.groupBy("candidate_id").agg(F.countDistinct("epoch").cast("int").alias("n_epochs"), F.max("real_bogus").alias("best_real_bogus"), F.max(F.when(F.col("raised"), F.col("significance"))).alias("significance"), best.alias("best_epoch"))
+    return out.withColumn("multi_epoch", F.col("n_epochs") >= 2)
 
 
 def nearest_distances(points: DataFrame, start: float) -> DataFrame:

@@ -67,8 +67,8 @@ def _(v):
 
 @query("model31_moving_objects")
 def _(v):
-    t = linking.drop_shared(linking.link(v.epoch_detections, 3.0, 3))
-    return t.select("tracklet_id", "n_points", "rms")
+    t = linking.moving_objects(v.epoch_detections)
+    return t.select("tracklet_id", "n_points", "rms", "score", "chance", "chance_plausible")
 
 
 def _long(v):
