@@ -108,10 +108,18 @@ def real_bogus(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"real_bogus": F.coalesce(clip(F.exp(logs), 0, 1), F.lit(0.0)), "worst": worst[0]["n"]})
 
 
-def stamp_features(pixels: DataFrame, key: str, noise: float) -> DataFrame:
-    """Shape features of residual stamps, one aggregation per stamp."""
+def stamp_features(pixels: DataFrame, key: str, noise: float, psf_fwhm: float = 3.0) -> DataFrame:
+    """Shape features of residual stamps, one aggregation per stamp.
+
+    ``psf_correlation`` is that of the values with a Gaussian of ``psf_fwhm`` about the stamp's middle; null where either is flat.
+    """
     v, w = F.col("value"), F.greatest("value", F.lit(0.0))
+    whole = Window.partitionBy(key)
+    middle = [(F.min(c).over(whole) + F.max(c).over(whole)) / 2.0 for c in ("x", "y")]
+    away = (F.col("x") - middle[0]) * (F.col("x") - middle[0]) + (F.col("y") - middle[1]) * (F.col("y") - middle[1])
+    pixels = pixels.withColumn("psf_", F.exp(-0.5 * away / (psf_fwhm / 2.3548) ** 2))
     s = pixels.groupBy(key).agg(
+        (F.covar_pop(v, F.col("psf_")) / F.nullif(F.stddev_pop(v) * F.stddev_pop("psf_"), F.lit(0.0))).alias("psf_correlation"),
         F.max(v).alias("top"), F.min(v).alias("low"), F.avg((v < -2 * noise).cast("double")).alias("negative_fraction"), F.sum(w).alias("total"),
         F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"), F.sum(w * F.col("y") * F.col("y")).alias("wyy"),
         F.sum(w * F.col("x") * F.col("y")).alias("wxy"), ((F.min("x") + F.max("x")) / 2.0).alias("mx"), ((F.min("y") + F.max("y")) / 2.0).alias("my"),
@@ -122,7 +130,7 @@ def stamp_features(pixels: DataFrame, key: str, noise: float) -> DataFrame:
     root, half = F.sqrt(((F.col("a") - F.col("b")) / 2) ** 2 + F.col("c") ** 2), (F.col("a") + F.col("b")) / 2
     longer = F.sqrt(F.greatest(half + root, F.lit(1e-9))) / F.sqrt(F.greatest(half - root, F.lit(1e-9)))
     return s.select(
-        key, (F.col("top") / noise).alias("peak_significance"), F.lit(None).cast("double").alias("psf_correlation"),
+        key, (F.col("top") / noise).alias("peak_significance"), "psf_correlation",
         F.when(F.col("top") > 0, F.abs("low") / F.col("top")).otherwise(1.0).alias("dipole_ratio"), "negative_fraction",
         F.coalesce(F.col("top") / t, F.lit(1.0)).alias("sharpness"), F.coalesce(longer, F.lit(1.0)).alias("elongation"), F.hypot(F.col("cx") - F.col("mx"), F.col("cy") - F.col("my")).alias("centroid_offset"),
     )

@@ -227,3 +227,10 @@ def _(v):
     top = v.boxes.agg(F.max("score")).first()[0]
     pairs = match.box_overlaps(boxes.drop("score"), 32.0).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
     return match.soft_suppress(boxes.select("id", (F.col("score") / float(top or 1.0)).alias("score")), pairs).withColumnRenamed("id", "box_id")
+
+
+@query("join17_track_members", "epoch_detections", "SELECT string_agg(det_id, ',' ORDER BY det_id) AS members, CAST(count(*) AS INTEGER) AS n_points FROM epoch_detections GROUP BY track_truth")
+def _(v):
+    """Members of the tracklets that are left of all; the SQL has them from the true tracks."""
+    found = linking.link(v.epoch_detections, 3.0, 3)
+    return linking.drop_shared(found).select("tracklet_id").join(found, "tracklet_id").select(F.concat_ws(",", "members").alias("members"), "n_points")

@@ -77,3 +77,9 @@ def _(v):
     radii = F.explode(F.array(*map(F.lit, [2, 4, 6, 8]))).alias("radius")
     rows = v.pixels.select("epoch", "value", F.hypot(F.col("x") - 9.5, F.col("y") - 9.5).alias("d"), radii)
     return rows.filter("d <= radius").groupBy("epoch", "radius").agg(F.sum("value").alias("enclosed"))
+
+
+@query("agg34_psf_correlation", "pixels", """WITH m AS (SELECT *, (min(x) OVER w + max(x) OVER w) / 2.0 AS mx, (min(y) OVER w + max(y) OVER w) / 2.0 AS my FROM pixels WINDOW w AS (PARTITION BY epoch))
+SELECT epoch, corr(value, exp(-0.5 * (pow(x - mx, 2) + pow(y - my, 2)) / pow(3.0 / 2.3548, 2))) AS psf_correlation FROM m GROUP BY epoch""", "psf_correlation")
+def _(v):
+    return R.stamp_features(v.pixels, "epoch", 5.0).select("epoch", "psf_correlation")

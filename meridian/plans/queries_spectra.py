@@ -7,6 +7,7 @@ from ..operators import fit, linking, match
 from ..operators import lines as L
 from ..operators import pixels as P
 from ..operators import redshift as Z
+from ..operators import transients
 from ..operators import spectra as S
 from .registry import query
 
@@ -114,3 +115,9 @@ def _(v):
 def _(v):
     known = _long(v).select("spec_id").distinct().withColumn("z", F.pmod("spec_id", F.lit(4)) * 0.02)
     return Z.dispersions(_long(v), known, _templates(v).filter("template = 't1'"))
+
+
+@query("model29_transient_candidates")
+def _(v):
+    """Whole chain: subtraction, labels, stamps, scores and merged candidates of all epochs."""
+    return transients.search(v.pixels)
