@@ -147,3 +147,31 @@ def hold_one_out(pixels: DataFrame) -> DataFrame:
     skip = lambda place: place + (place >= F.col("rank_")).cast("int")
     middle = (at(skip(low)) + at(skip(high))) / 2
     return rows.withColumn("residual", F.col("value") - F.when(F.col("others_") > 0, middle)).drop("rank_", "others_", "v0_", "v1_", "v2_")
+
+
+def box_mean(pixels: DataFrame, frame: str, half: int) -> DataFrame:
+    """Adds ``smooth``, the mean of the pixels up to ``half`` away in x and y that are there: sums along rows, then along columns."""
+    span = lambda a, b: Window.partitionBy(frame, a).orderBy(b).rangeBetween(-half, half)
+    rows = pixels.withColumns({"s_": F.sum("value").over(span("y", "x")), "n_": F.count("value").over(span("y", "x"))})
+    return rows.withColumn("smooth", F.sum("s_").over(span("x", "y")) / F.sum("n_").over(span("x", "y"))).drop("s_", "n_")
+
+
+def smoothness(pixels: DataFrame, frame: str, cx: float, cy: float, petrosian: float, sky: Column | None = None, inner: float = 0.25) -> DataFrame:
+    """(frame, smoothness, raw, sky_term, box): light above the box mean between a quarter and 1.5 Petrosian radii, over the light there.
+
+    The box is half a Petrosian radius wide, odd and at least 3. Where ``sky`` marks at least 8 pixels, what the same residual
+    has there is taken off. Null without light; with fewer than 8 pixels in the ring its outer edge, then its inner one, is dropped.
+    """
+    box = max(3, round(2 * max(0.25 * petrosian, 1.0)) | 1)
+    r = F.hypot(F.col("x") - cx, F.col("y") - cy)
+    on_sky = F.coalesce(sky, F.lit(False)) if sky is not None else F.lit(False)
+    # the footprint is what is not sky; both are smoothed together
+    rows = box_mean(pixels, frame, box // 2).select(frame, "value", F.greatest(F.col("value") - F.col("smooth"), F.lit(0.0)).alias("res"), r.alias("r"), on_sky.alias("sky"))
+    rings = {"a": ~F.col("sky") & (F.col("r") > inner * petrosian) & (F.col("r") <= 1.5 * petrosian), "b": ~F.col("sky") & (F.col("r") > inner * petrosian), "c": ~F.col("sky")}
+    sums = [f.alias(f"{k}_{n}") for k, test in rings.items() for n, f in (("n", F.count(F.when(test, 1))), ("res", F.sum(F.when(test, F.col("res")))), ("light", F.sum(F.when(test, F.col("value")))))]
+    got = rows.groupBy(frame).agg(*sums, F.count(F.when(F.col("sky"), 1)).alias("n_sky"), F.avg(F.when(F.col("sky"), F.col("res"))).alias("sky_res"))
+    pick = lambda n: F.when(F.col("a_n") >= 8, F.col(f"a_{n}")).when(F.col("b_n") >= 8, F.col(f"b_{n}")).otherwise(F.col(f"c_{n}"))
+    got = got.select(frame, "n_sky", "sky_res", *[pick(n).alias(n) for n in ("n", "res", "light")]).withColumn("light", F.when(F.col("light") > 0, F.col("light")))
+    term = F.when(F.col("light").isNull(), F.lit(None)).when(F.col("n_sky") >= 8, F.col("sky_res") * F.col("n") / F.col("light")).otherwise(0.0)
+    got = got.withColumns({"raw": F.col("res") / F.col("light"), "sky_term": term})
+    return got.select(frame, (F.col("raw") - F.col("sky_term")).alias("smoothness"), "raw", "sky_term", F.lit(box).alias("box"))

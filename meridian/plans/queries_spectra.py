@@ -7,6 +7,7 @@ from ..operators import fit, linking, match
 from ..operators import lines as L
 from ..operators import pixels as P
 from ..operators import redshift as Z
+from ..operators import spectrum_analysis as A
 from ..operators import transients
 from ..operators import spectra as S
 from .registry import query
@@ -121,3 +122,17 @@ def _(v):
 def _(v):
     """Whole chain: subtraction, labels, stamps, scores and merged candidates of all epochs."""
     return transients.search(v.pixels)
+
+
+@query("model22_supernova_types")
+def _(v):
+    """The long spectra against six of them as templates of three types; every other one has a host's redshift."""
+    t = _long(v).filter("spec_id < 6").select(F.concat(F.lit("T"), F.pmod("spec_id", F.lit(3))).alias("type"), (F.floor(F.col("spec_id") / 3) * 15.0).alias("phase"), "pix", "wavelength", "flux", "error")
+    hosts = _long(v).select("spec_id").distinct().withColumn("z", F.when(F.col("spec_id") % 2 == 0, 0.0))
+    return A.classify_supernovae(_long(v), hosts, t)
+
+
+@query("model35_spectrum_analysis")
+def _(v):
+    found = A.analyse(_long(v), _templates(v), early="t1", z_range=(-0.005, 0.4))
+    return found.withColumn("flags", F.concat_ws("|", "flags"))

@@ -209,3 +209,12 @@ def _(v):
 @query("set04_mask_union", "pixels", "SELECT y, x, bool_or(bad) AS any_bad FROM pixels GROUP BY y, x")
 def _(v):
     return P.stack(v.pixels).select("y", "x", "any_bad")
+
+
+@query("agg33_smoothness", "pixels", """WITH a AS (SELECT *, sum(value) OVER w AS s, count(value) OVER w AS n FROM pixels WINDOW w AS (PARTITION BY epoch, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+b AS (SELECT epoch, value, greatest(value - sum(s) OVER w / sum(n) OVER w, 0) AS res, sqrt(pow(x - 9.5, 2) + pow(y - 9.5, 2)) AS r, x < 2 OR y < 2 OR x > 17 OR y > 17 AS sky FROM a WINDOW w AS (PARTITION BY epoch, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+g AS (SELECT epoch, count(*) FILTER (NOT sky AND r > 1.5 AND r <= 9) AS n, sum(res) FILTER (NOT sky AND r > 1.5 AND r <= 9) AS res, sum(value) FILTER (NOT sky AND r > 1.5 AND r <= 9) AS light, avg(res) FILTER (sky) AS sky_res FROM b GROUP BY epoch)
+SELECT epoch, res / light - sky_res * n / light AS smoothness, res / light AS raw, sky_res * n / light AS sky_term, CAST(3 AS INTEGER) AS box FROM g""", "smoothness raw sky_term")
+def _(v):
+    edge = (F.col("x") < 2) | (F.col("y") < 2) | (F.col("x") > 17) | (F.col("y") > 17)
+    return P.smoothness(v.pixels, "epoch", 9.5, 9.5, 6.0, edge)
