@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 LENGTH = 1024
 GROUP = 4096
 #: Fixed value: the vocabulary's one added token.
@@ -62,7 +64,7 @@ def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(released(run), "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class TournamentTree:
