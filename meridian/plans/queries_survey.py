@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import magnitude
-from ..operators import growth, learn, locus, match, photoz, population, profiles, quantiles
+from ..operators import growth, learn, locus, match, photometer, photoz, population, profiles, quantiles
 from ..operators import pixels as P
 from ..operators import spectra as S
 from ..operators.rounds import shared_folder
@@ -247,3 +247,14 @@ def _(v):
     line = locus.Locus([-0.2, 0.1], -2.0, 2.0, centres=[-9.0], star_width=[0.25], galaxy_width=[0.35])
     x, y = F.col("x"), F.col("y")
     return _colours(v).select("id", line.distance(x, y).alias("distance"), line.stellarity(x, y, F.col("snr")).alias("stellarity"))
+
+
+@query("model33_catalog_photometry")
+def _(v):
+    """Every placed source; frames are 20 pixels wide, so radii and ring are small, and the frame's own growth curve corrects."""
+    light = v.sources.select("source_id", (F.col("flux") / F.col("flux_err")).alias("snr"), "area_pixels")
+    placed = _placed(v).join(light, "source_id")
+    stars = placed.select("epoch", F.col("source_id").alias("star"), F.col("sx").alias("x"), F.col("sy").alias("y"), "snr")
+    curve = growth.growth_curve(growth.star_curves(stars, v.pixels, "epoch", 4.0), "epoch").select("epoch", "radius", "enclosed")
+    out = photometer.measure(placed.drop("snr"), v.pixels, "epoch", curve, radii=(2.0, 3.0), primary=3.0, ring=(5.0, 9.0))
+    return out.withColumn("flags", F.concat_ws("|", "flags"))
