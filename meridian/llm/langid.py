@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import released
+from .common import arrow_rows, materialize, released
 
 ORDER = 3
 MAX_BYTES = 4_000_000
 MAX_BITS_PER_BYTE = 5.0
+#: Rows in a batch of whole documents.
+LONG_ROWS = 256
 _WINDOW = 1 << 20
 
 
@@ -243,4 +245,6 @@ def keep_identified(docs: DataFrame, max_bits_per_byte: float = MAX_BITS_PER_BYT
     """Documents without those rejected: ``und``, or coded worse than ``max_bits_per_byte`` by every language."""
     learn = docs.filter(~held_out(5) & F.col("doc_id").isNotNull())
     out = predict(docs, fit(learn), [docs[c] for c in docs.columns], prefix="ppm ")
-    return out.filter((F.col("ppm lang_pred") != "und") & (F.col("ppm bits_per_byte") <= max_bits_per_byte)).select(*docs.columns)
+    out = out.filter((F.col("ppm lang_pred") != "und") & (F.col("ppm bits_per_byte") <= max_bits_per_byte)).select(*docs.columns)
+    with arrow_rows(docs.sparkSession, LONG_ROWS):
+        return materialize(out, "identified")

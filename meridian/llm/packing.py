@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released
+from .common import arrow_rows, materialize, released
 
 LENGTH = 1024
 GROUP = 4096
+#: Rows in a batch of whole documents.
+LONG_ROWS = 256
 #: Fixed value: the vocabulary's one added token.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -110,5 +112,7 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame
     # a document's remainder goes by the document; its full pieces, which fill a sequence each, may go anywhere
     full = F.when(F.col("length") == length, F.col("start")).otherwise(-1)
     dealt = pieces(docs, length).withColumn("pack_group", F.pmod(F.xxhash64("row", full), F.lit(groups))).drop("row")
+    with arrow_rows(docs.sparkSession, LONG_ROWS):
+        dealt = materialize(dealt, "pieces")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("pack_group").applyInPandas(_pack_group(length), schema)
