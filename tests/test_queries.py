@@ -18,6 +18,7 @@ CHECKED = [
     "join19_enclosing_cone", "agg03_number_counts", "agg49_calibration_errors", "agg58_ranking_auc", "agg29_gini", "agg30_m20", "win12_stencil_mean", "model09_components", "top07_vetting_queue",
     "agg12_mode_estimate", "agg13_background", "agg19_flux_scale", "join20_calibration", "agg26_petrosian_radius", "agg36_phase_winding", "agg37_ring_completeness", "prj12_cutouts", "join09_hosts",
     "agg07_nearest_neighbours", "win17_sky_lines", "agg22_label_sizes", "agg32_concentration", "model18_colour_grid", "model25_sersic_scan", "agg55_annotate", "src17_survey_planes", "udf03_tiled_maxima",
+    "agg56_silhouette", "model23_line_votes", "agg33_smoothness", "agg43_population_widths", "agg43_separation", "sca21_colour_stellarity", "agg34_psf_correlation", "join17_track_members",
 ]
 
 
