@@ -48,6 +48,16 @@ def test_query_equals_sql(spark, duck, name):
         assert same.all(), (c, a[~same].head(3).tolist(), b[~same].head(3).tolist())
 
 
+def test_magnitudes_of_no_light(spark, tmp_path):
+    """Fluxes of 0 and below, and null, come back as the SQL has them."""
+    folder = str(tmp_path)
+    spark.sql("SELECT id AS event_id, id AS user_id, 'view' AS event_type, TIMESTAMP_NTZ'2020-01-02 03:04:05' AS ts, CASE id WHEN 0 THEN 0D WHEN 1 THEN -2D WHEN 2 THEN 2.5D END AS value FROM range(4)").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    ours, theirs = (sorted(map(repr, x)) for x in ([tuple(r) for r in registry.QUERIES["sca01_magnitudes"](spark, folder).collect()], con.execute(registry.ORACLE["sca01_magnitudes"]).fetchall()))
+    assert ours == theirs
+
+
 def test_every_sql_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
 
