@@ -223,8 +223,11 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 _NO_ROWS = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "token", "n", "at", "prev", "place")})
 
 
-def _first_pass(percent: int):
-    """Pairs (a, b) of small groups and of large ones with their first row; rows of large groups come back with b = a."""
+def _first_pass(percent: int, common=None):
+    """Pairs (a, b) of small groups and of large ones with their first row; rows of large groups come back with b = a.
+
+    Groups of the broadcast tokens ``common`` are parts of larger ones, so they count as large whatever their size.
+    """
 
     def out(pairs: list, rest: list) -> pd.DataFrame:
         found = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
@@ -234,8 +237,12 @@ def _first_pass(percent: int):
     def groups(part: pd.DataFrame, pairs: list, rest: list, begun, before: int):
         """``begun``: a token of which ``before`` rows after the first went out before, so that it is large."""
         rows, new = _Rows(part), _runs(part["token"].to_numpy())
-        sizes, big = np.diff(new), np.zeros(len(new) - 1, bool)
-        big = (sizes > LARGE) | (part["token"].to_numpy()[new[:-1]] == begun if begun is not None else big)
+        sizes, token = np.diff(new), part["token"].to_numpy()[new[:-1]]
+        big = sizes > LARGE
+        if begun is not None:
+            big |= token == begun
+        if common is not None:
+            big |= np.isin(token, common.value[0])
         for size in np.unique(sizes[(sizes > 1) & ~big]):
             start = new[:-1][(sizes == size) & ~big]
             i, j = np.triu_indices(size, 1)
@@ -295,7 +302,7 @@ def first_pairs(classes: DataFrame, listed: tuple[np.ndarray, np.ndarray], perce
 
     postings = classes.select("cid", "n", "first").mapInArrow(released(explode), "token long, cid long, n int, at int, prev long, part int")
     dealt = postings.repartition("token", "part").sortWithinPartitions("token", "part", "cid")
-    found = materialize(dealt.mapInPandas(released(_first_pass(percent)), "a long, b long, token long, n int, at int, prev long, place long"), "first-pass")
+    found = materialize(dealt.mapInPandas(released(_first_pass(percent, shared if common.any() else None)), "a long, b long, token long, n int, at int, prev long, place long"), "first-pass")
     rest = found.filter("a = b").select(F.col("a").alias("cid"), "token", "n", "at", "prev", "place")
     pairs = found.filter("a <> b").select("a", "b")
     if common.any():  # the parts of a common token meet through their first rows

@@ -118,6 +118,26 @@ def test_ngram_join_dense_group(spark, monkeypatch, block, part):
     test_ngram_join(spark.createDataFrame(out, SCHEMA), out)
 
 
+def test_ngram_join_small_parts(spark, monkeypatch):
+    """Parts of a common token that are small groups by themselves meet through their first rows."""
+    monkeypatch.setattr(ngram_join, "PART", 1)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in many}
+    for name, value in many.items():
+        spark.conf.set(name, value)
+    try:
+        tokens = np.arange(1, 11, dtype=np.uint64)
+        rows = [(100 * int(t) + k, 5, np.array([t], np.uint64).tobytes()) for t in tokens for k in (0, 1)]
+        classes = spark.createDataFrame(rows, "cid long, n long, first binary")
+        pairs, rest = ngram_join.first_pairs(classes, (tokens, np.full(10, 2)), 80)
+        assert sorted(map(tuple, pairs.collect())) == [(100 * t, 100 * t + 1) for t in range(1, 11)]
+        assert sorted(r.cid for r in rest.collect()) == sorted(r[0] for r in rows)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_ngram_join_every_link(spark, monkeypatch):
     """All links of a dense group are counted, in one block or several, and of copies and wordless texts."""
     monkeypatch.setattr(ngram_join, "LARGE", 4)
