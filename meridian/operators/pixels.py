@@ -156,6 +156,13 @@ def box_mean(pixels: DataFrame, frame: str, half: int) -> DataFrame:
     return rows.withColumn("smooth", F.sum("s_").over(span("x", "y")) / F.sum("n_").over(span("x", "y"))).drop("s_", "n_")
 
 
+def box_max(pixels: DataFrame, frame: str, half: int) -> DataFrame:
+    """Adds ``top``, the largest value up to ``half`` pixels away in x and y: along rows, then along columns. Folding at the edges would add none."""
+    span = lambda a, b: Window.partitionBy(frame, a).orderBy(b).rangeBetween(-half, half)
+    rows = pixels.withColumn("m_", F.max("value").over(span("y", "x")))
+    return rows.withColumn("top", F.max("m_").over(span("x", "y"))).drop("m_")
+
+
 def smoothness(pixels: DataFrame, frame: str, cx: float, cy: float, petrosian: float, sky: Column | None = None, inner: float = 0.25) -> DataFrame:
     """(frame, smoothness, raw, sky_term, box): light above the box mean between a quarter and 1.5 Petrosian radii, over the light there.
 
