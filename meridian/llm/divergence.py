@@ -196,7 +196,8 @@ def _tile(part: pd.DataFrame) -> pd.DataFrame:
         others = rows[rows > own] if t1 == t2 else rows[blocks[rows] == t2] if blocks[own] == t1 else rows[:0]
         if len(others):
             sums = pair_sums(trees, p, own, others)
-            out += [(lang, sources[own], "pair", sources[j], int(s)) for j, s in zip(others, sums, strict=True)]
+            # rows come in another order in every shard, so a pair's sides are ordered by name before shards are added
+            out += [(lang, min(sources[own], sources[j]), "pair", max(sources[own], sources[j]), int(s)) for j, s in zip(others, sums, strict=True)]
         if t1 == t2 and whole.any():
             out += [(lang, sources[own], "term", term, f) for term, f in leading_terms(trees, p, own, len(part) - 1, 0, terms)]
     return pd.DataFrame(out, columns=["lang", "source", "part", "item", "value"])

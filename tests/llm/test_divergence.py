@@ -60,6 +60,19 @@ def test_divergences_equal_brute_force(spark, rows, monkeypatch, width, side, he
     assert Counter(map(tuple, got.collect())) == brute(rows)
 
 
+def test_pairs_of_shards_that_list_sources_in_other_orders(spark, rows):
+    """As with larger tables, no broadcasts and no coalesced partitions: the sources of a tile come in another order in every shard."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        got = divergence.divergences(spark.createDataFrame(rows, SCHEMA), width=8).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert Counter(map(tuple, got)) == brute(rows)
+
+
 def test_ties_and_small_tables(spark):
     assert divergence.divergences(spark.createDataFrame([], SCHEMA)).count() == 0
     table = [(i, "b a c d e f g h i j k l", "en", f"s{i % 2}", "", 0, 0.0) for i in range(24)] + [(99, "a b c d e f g h i j k l", "en", "t", "", 0, 0.0)]
