@@ -57,3 +57,38 @@ def test_components(spark):
 def test_empty_pairs(spark):
     none = spark.createDataFrame([], "id long, ra double, dec double")
     assert match.nearest(match.sky_pairs(none, none, 1.0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_best_of_kinds_is_serial_greedy(spark, seed):
+    """Kinds of many rows with few distinct scores, so that equal ones connect kinds, some of which wait for better pairs."""
+    rng = np.random.default_rng(seed)
+    kinds = {n: rng.integers(0, 8, 70) for n in "ab"}
+    score = {(i, j): float(rng.integers(1, 5)) for i in range(8) for j in range(8) if rng.random() < 0.5}
+    pairs = sorted((-score[p], i, j) for i, x in enumerate(kinds["a"]) for j, y in enumerate(kinds["b"]) if (p := (int(x), int(y))) in score)
+    used, want = (set(), set()), set()
+    for s, i, j in pairs:
+        if i not in used[0] and j not in used[1]:
+            used[0].add(i)
+            used[1].add(j)
+            want.add((i, j, -s))
+    a, b = (spark.createDataFrame([(i, int(k)) for i, k in enumerate(kinds[n])], "id long, kind long") for n in "ab")
+    got = match.best_of_kinds(a, b, spark.createDataFrame([(*p, s) for p, s in score.items()], "a long, b long, score double"), "score")
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_equal_boxes_meet_as_classes(spark):
+    """Four places of a thousand equal boxes each: a million pairs a place, of which the operators see four."""
+    rows = spark.range(4000).selectExpr("id", "0L AS frame_id", "20D * (id % 4) AS x_min", "0D AS y_min", "20D * (id % 4) + 10 AS x_max", "10D AS y_max", "(1 + pmod(xxhash64(id), 1000)) / 1000D AS score")
+    soft = {r.id: r for r in match.soft_suppress_boxes(rows, 16.0).collect()}
+    scores = {r.id: r.score for r in rows.collect()}
+    for k in range(4):
+        work, taken = {i: scores[i] for i in range(k, 4000, 4)}, set()
+        while max((w for i, w in work.items() if i not in taken), default=0) >= 0.05:
+            top = max((w, -i) for i, w in work.items() if i not in taken)
+            taken.add(-top[1])
+            work = {i: w if i in taken else w * np.exp(-2.0) for i, w in work.items()}
+        assert {i for i in work if soft[i].taken} == taken
+        assert all(abs(soft[i].score - w) < 1e-12 for i, w in work.items())
+    pairs = match.greedy_overlaps(rows, rows, 16.0, 0.5).collect()
+    assert len(pairs) == 4000 and all(r.a_id == r.b_id and r.iou == 1 for r in pairs)
