@@ -5,14 +5,19 @@ Every statistic is one grouped aggregation over columns computed in one ordered
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
 
 MAD_SIGMA = 1.4826
+#: Trial frequencies in a row of the matrix that ``periods`` sums.
+FINE = 64
 
 
 def clean(curves: DataFrame) -> DataFrame:
@@ -137,8 +142,8 @@ def phase_fold(curves: DataFrame, key: str, period: Column) -> DataFrame:
 def periods(curves: DataFrame, key: str, n_frequencies: int = 2000, min_period: float = 0.02, max_period: float = 100.0, oversample: float = 5.0) -> DataFrame:
     """Weighted Lomb-Scargle peak of each curve with five epochs: frequency, period, power, false-alarm probability.
 
-    Curves are exploded over the trial frequencies only after the filter; two map-side-combined
-    aggregations give the tau offset and the power, so no task holds a whole curve.
+    A curve is shuffled once, and its points come to the sums of all trial frequencies batch by batch, so neither a whole curve
+    nor its points times the frequencies are held or shuffled; only the peak leaves the task.
     """
     w = Window.partitionBy(key)
     rows = clean(curves).withColumns({"n_": F.count("*").over(w), "base_": F.max("mjd").over(w) - F.min("mjd").over(w), "t_": F.col("mjd") - F.min("mjd").over(w)})
@@ -151,26 +156,31 @@ def periods(curves: DataFrame, key: str, n_frequencies: int = 2000, min_period:
     low = F.greatest(1 / F.greatest(longest, F.lit(1e-6)), 1 / (oversample * F.col("base_")))
     high = F.when(F.lit(1 / min_period) <= low, low * 10).otherwise(F.lit(1 / min_period))
     n = max(16, n_frequencies)
-    grid = rows.select(key, "n_", "t_", "w_", "y_", low.alias("low_"), ((high - low) / (n - 1)).alias("step_"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    grid = grid.withColumn("omega_", 2 * math.pi * (F.col("low_") + F.col("k") * F.col("step_")))
-    a = F.col("omega_") * F.col("t_")
-    weight, y = F.col("w_"), F.col("y_")
-    # with s2, c2 the doubled-angle sums, the tau-shifted sums follow from the plain ones
-    sums = grid.groupBy(key, "k").agg(
-        F.first("n_").alias("n"), F.first("low_").alias("low"), F.first("step_").alias("step"),
-        F.sum(weight * F.sin(2 * a)).alias("s2"), F.sum(weight * F.cos(2 * a)).alias("c2"),
-        F.sum(weight * y * F.cos(a)).alias("yc"), F.sum(weight * y * F.sin(a)).alias("ys"), F.sum(weight * y * y).alias("yy"),
-    )
-    half = 0.5 * F.atan2("s2", "c2")
-    r = F.hypot("s2", "c2")
-    cc, ss = 0.5 * (1 + r), 0.5 * (1 - r)
-    c = F.col("yc") * F.cos(half) + F.col("ys") * F.sin(half)
-    s = F.col("ys") * F.cos(half) - F.col("yc") * F.sin(half)
-    power = F.when(cc > 1e-12, c * c / cc).otherwise(0.0) + F.when(ss > 1e-12, s * s / ss).otherwise(0.0)
-    sums = sums.withColumn("power", F.when(F.col("yy") > 0, clip(power / F.col("yy"), 0, 1)).otherwise(0.0))
-    near = Window.partitionBy(key).orderBy("k")
-    sums = sums.withColumns({"y0": F.lag("power").over(near), "y2": F.lead("power").over(near)})
-    best = sums.groupBy(key).agg(F.max(F.struct("power", -F.col("k"), "k", "y0", "y2", "low", "step", "n")).alias("b")).select(key, "b.*")
+    points = rows.filter("w_ IS NOT NULL AND y_ IS NOT NULL").select(key, "n_", "t_", "w_", "y_", low.alias("low_"), ((high - low) / (n - 1)).alias("step_"))
+
+    def peak(group: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = doubled = square = 0.0
+        for b in batches:
+            t, w, y = (b[c].to_numpy(float) for c in ("t_", "w_", "y_"))
+            if len(b):
+                size, start, step = int(b["n_"].iat[0]), float(b["low_"].iat[0]), float(b["step_"].iat[0])
+            # trial 64 i + j turns by the product of two rotations, so the sums over points are matrix products
+            first, coarse, fine = np.exp(2j * np.pi * start * t), np.exp(2j * np.pi * step * np.outer(t, FINE * np.arange(-(-n // FINE)))), np.exp(2j * np.pi * step * np.outer(t, np.arange(FINE)))
+            plain = plain + ((w * y * first)[:, None] * coarse).T @ fine
+            doubled = doubled + ((w * first**2)[:, None] * coarse**2).T @ fine**2
+            square += (w * y * y).sum()
+        plain, doubled = plain.ravel()[:n], doubled.ravel()[:n]
+        # with the doubled-angle sums, the tau-shifted sums follow from the plain ones
+        half, r = 0.5 * np.angle(doubled), np.abs(doubled)
+        cc, ss = 0.5 * (1 + r), 0.5 * (1 - r)
+        c, s = plain.real * np.cos(half) + plain.imag * np.sin(half), plain.imag * np.cos(half) - plain.real * np.sin(half)
+        power = np.where(cc > 1e-12, c * c / np.maximum(cc, 1e-12), 0.0) + np.where(ss > 1e-12, s * s / np.maximum(ss, 1e-12), 0.0)
+        power = np.zeros(n) if square <= 0 else np.clip(np.nan_to_num(power / square, nan=1.0), 0, 1)
+        k = int(np.argmax(power))
+        beside = [power[i] if 0 <= i < n else None for i in (k - 1, k + 1)]
+        yield pd.DataFrame([(group[0], power[k], k, *beside, start, step, size)], columns=[key, "power", "k", "y0", "y2", "low", "step", "n"])
+
+    best = points.groupBy(key).applyInPandas(peak, f"{key} {curves.schema[key].dataType.simpleString()}, power double, k int, y0 double, y2 double, low double, step double, n long")
     bend = F.col("y0") - 2 * F.col("power") + F.col("y2")
     shift = F.coalesce(F.when(F.abs(bend) > 1e-12, clip(0.5 * (F.col("y0") - F.col("y2")) / bend, -1, 1)), F.lit(0.0))
     frequency = F.col("low") + (F.col("k") + shift) * F.col("step")
