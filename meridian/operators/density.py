@@ -1,6 +1,6 @@
 """Density clustering without a radius: spanning trees of mutual reachability; silhouettes. Vectors meet in tiles of blocks.
 
-Distances are square roots of summed squared differences, never of expanded products, so equal vectors are at distance 0.
+Distances that decide anything are square roots of summed squared differences (``tiles.exact``), so equal vectors are at distance 0.
 """
 
 from __future__ import annotations
@@ -13,41 +13,12 @@ from pyspark.sql import functions as F
 from .match import number_rows
 from .quantiles import quantiles
 from .rounds import components, cut
-
-BLOCK = 4096
-#: Rows of a tile whose distances are held at a time.
-ROWS = 64
-
-
-def _distances(x: np.ndarray, y: np.ndarray):
-    """(first row, distances to all of y) for some rows of x at a time."""
-    for at in range(0, len(x), ROWS):
-        away = x[at : at + ROWS, None, :] - y[None]
-        yield at, np.sqrt((away * away).sum(axis=2))
-
-
-def _tiles(left: DataFrame, right: DataFrame, tile, schema: str, block: int) -> DataFrame:
-    """``tile(left part, right part)`` for every pair of blocks of the two tables (id, x, ...)."""
-    right = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])  # the two may be one table
-    n, m = (max(1, -(-df.count() // block)) for df in (left, right))
-
-    def dealt(df: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-
-    names = [c.split()[0] for c in schema.split(",")]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in names})
-        b = b.rename(columns=lambda c: c.removeprefix("right_"))
-        return tile(a, np.stack(a["x"].to_numpy()), b, np.stack(b["x"].to_numpy()))
-
-    return dealt(left, "i", n, "j", m).groupBy("i", "j").cogroup(dealt(right, "j", m, "i", n).groupBy("i", "j")).applyInPandas(run, schema)
-
+from .tiles import BLOCK, distances, exact, nearest, squares, tiles, unit_of
 
 def vectors(rows: DataFrame, key: str, *extra: str) -> DataFrame:
-    """id, x (doubles; missing and not finite numbers are 0) and some columns of rows with an array ``x``."""
-    number = F.transform(F.col("x").cast("array<double>"), lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))
+    """id, x (floats as they are, else doubles; missing and not finite numbers are 0) and some columns of rows with an array ``x``."""
+    kind = "float" if rows.schema["x"].dataType.simpleString() == "array<float>" else "double"
+    number = F.transform(F.col("x").cast(f"array<{kind}>"), lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0).cast(kind)).otherwise(v))
     return rows.select(F.col(key).cast("long").alias("id"), number.alias("x"), *extra)
 
 
@@ -55,17 +26,9 @@ def nearest_lists(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(id, other, rank, dist): the k nearest others of every row of (id, x); equal distances in order of id."""
 
     def tile(a, x, b, y):
-        ids, others, out = a["id"].to_numpy(), b["id"].to_numpy(), []
-        order = np.argsort(others)
-        others, y = others[order], y[order]
-        for at, d in _distances(x, y):
-            d[ids[at : at + len(d), None] == others] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"id": np.repeat(ids[at : at + len(d)], near.shape[1]), "other": others[near.ravel()], "dist": np.take_along_axis(d, near, 1).ravel()}))
-        out = pd.concat(out)
-        return out[np.isfinite(out["dist"])]
-
-    found = _tiles(rows, rows, tile, "id long, other long, dist double", block)
+        return nearest(a["id"].to_numpy(), x, b["id"].to_numpy(), y, k)
+
+    found = tiles(rows, rows, tile, "id long, other long, dist double", block)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "other"))).filter(F.col("rank") <= k)
 
 
@@ -75,23 +38,33 @@ def _cheapest_outgoing(some: DataFrame, rows: DataFrame, block: int) -> DataFram
     def tile(a, x, b, y):
         ids, core, comp = (a[c].to_numpy() for c in ("id", "core", "comp"))
         others, core2, comp2 = (b[c].to_numpy() for c in ("id", "core", "comp"))
-        order = np.argsort(others)
+        order = np.argsort(comp2, kind="stable")
         others, core2, comp2, y = others[order], core2[order], comp2[order], y[order]
-        best: dict[int, tuple] = {}
-        for at, d in _distances(x, y):
-            mine = slice(at, at + len(d))
-            w = np.maximum(np.maximum(d, core[mine, None]), core2)
-            w[comp[mine, None] == comp2] = np.inf
-            low = w.min(axis=1)
-            for r in np.flatnonzero(np.isfinite(low)):
-                i = at + r
-                for j in np.flatnonzero(w[r] == low[r]):  # equal weights: the smaller ends
-                    edge = (low[r], min(ids[i], others[j]), max(ids[i], others[j]), comp2[j])
-                    if edge < best.get(comp[i], (np.inf,)):
-                        best[comp[i]] = edge
-        return pd.DataFrame([(c, *e) for c, e in best.items()], columns=["comp", "w", "lo", "hi", "to"])
-
-    found = _tiles(some, rows, tile, "comp long, w double, lo long, hi long, to long", block)
+        own = np.stack([np.searchsorted(comp2, comp, "left"), np.searchsorted(comp2, comp, "right")], axis=1)
+        names, which = np.unique(comp, return_inverse=True)
+        unit, top, out = unit_of(x, y), np.full(len(names), np.inf), []
+        least, least2 = (core / unit) ** 2, (core2 / unit) ** 2
+
+        def first(edges: pd.DataFrame) -> pd.DataFrame:  # equal weights: the smaller ends
+            return edges.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
+
+        for rows, found, error in squares(x, y, unit):
+            np.maximum(found, least2, out=found)
+            for r, (start, stop) in enumerate(own[rows]):
+                found[r, start:stop] = np.inf
+            low = np.maximum(found.min(axis=1), least[rows])
+            error = error + 1e-12 * np.where(np.isfinite(low), low, 0)
+            some = np.flatnonzero(np.isfinite(low) & (low - error <= (top[which[rows]] / unit) ** 2))
+            i, j = np.nonzero(found[some] <= (low + 2 * error)[some, None])
+            if not len(i):
+                continue
+            i = some[i] + rows.start
+            w = np.maximum(np.maximum(exact(x, y, i, j), core[i]), core2[j])
+            out.append(first(pd.DataFrame({"comp": comp[i], "w": w, "lo": np.minimum(ids[i], others[j]), "hi": np.maximum(ids[i], others[j]), "to": comp2[j]})))
+            np.minimum.at(top, which[i], w)
+        return first(pd.concat(out)) if out else pd.DataFrame({c: [] for c in ("comp", "w", "lo", "hi", "to")})
+
+    found = tiles(some, rows, tile, "comp long, w double, lo long, hi long, to long", block)
     return found.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "to")).alias("edge"))
 
 
@@ -173,12 +146,12 @@ def silhouettes(rows: DataFrame, key: str, label: str, block: int = BLOCK) -> Da
     data = cut(vectors(rows.filter(F.col(label) >= 0), key, F.col(label).alias("label")))
 
     def tile(a, x, b, y):
-        ids, names, which = a["id"].to_numpy(), *np.unique(b["label"].to_numpy(), return_inverse=True)
-        inside = np.eye(len(names))[which]
-        sums = np.concatenate([d @ inside for _, d in _distances(x, y)])
+        ids, order = a["id"].to_numpy(), np.argsort(b["label"].to_numpy(), kind="stable")
+        names, starts = np.unique(b["label"].to_numpy()[order], return_index=True)
+        sums = np.concatenate([np.add.reduceat(d, starts, axis=1) for _, d in distances(x, y[order])])
         return pd.DataFrame({"id": np.repeat(ids, len(names)), "label": np.repeat(a["label"].to_numpy(), len(names)), "other": np.tile(names, len(ids)), "total": sums.ravel()})
 
-    totals = _tiles(data, data, tile, "id long, label int, other int, total double", block).groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
+    totals = tiles(data, data, tile, "id long, label int, other int, total double", block).groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
     sizes = data.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
     own = F.col("label") == F.col("other")
     per = totals.join(sizes, "other").groupBy("id", "label").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import euclidean
+from .tiles import BLOCK, close, nearest, tiles
 
 
 def nearest_centroid(train: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -76,40 +77,21 @@ def kmeans(rows: DataFrame, k: int, seeds: int = 4) -> DataFrame:
     return best.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def _tiles(rows: DataFrame, key: str, block: int, pick) -> DataFrame:
-    """(id, other, dist) of the pairs that ``pick`` takes of a tile's distances. Blocks of rows meet as tiles."""
-    n = -(-rows.count() // block) or 1
-    a = rows.select(F.col(key).alias("id"), F.col("x").cast("array<double>").alias("x")).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)))
-    left = a.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    right = rows.select(F.col(key).alias("other"), F.col("x").cast("array<double>").alias("y")).withColumn("j", F.pmod(F.xxhash64("other"), F.lit(n))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+def _finite(rows: DataFrame, key: str) -> DataFrame:
+    """(id, x) of the rows whose vectors hold finite numbers only."""
+    return rows.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))).select(F.col(key).alias("id"), "x")
 
-    def tile(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame({"id": [], "other": [], "dist": []})
-        x, y = np.stack(p["x"].to_numpy()), np.stack(q["y"].to_numpy())
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
-        d[p["id"].to_numpy()[:, None] == q["other"].to_numpy()] = np.inf
-        i, j = pick(d)
-        out = pd.DataFrame({"id": p["id"].to_numpy()[i], "other": q["other"].to_numpy()[j], "dist": d[i, j]})
-        return out[np.isfinite(out["dist"])]
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "id long, other long, dist double")
+def neighbours(rows: DataFrame, key: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(key, other, rank, dist): k nearest by Euclidean distance, equal to nine decimals in order of id. Each tile keeps k per row."""
 
+    def tile(a, x, b, y):
+        return nearest(a["id"].to_numpy(), x, b["id"].to_numpy(), y, k, digits=9)
 
-def neighbours(rows: DataFrame, key: str, k: int, block: int = 2048) -> DataFrame:
-    """(key, other, rank, dist): k nearest by Euclidean distance. Each tile keeps k per row."""
-
-    def pick(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
-
+    some = _finite(rows, key)
     order = Window.partitionBy("id").orderBy(F.round("dist", 9), "other")
-    return _tiles(rows, key, block, pick).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "other", "rank", "dist")
-
-
-def within(rows: DataFrame, key: str, eps: float, block: int = 2048) -> DataFrame:
-    """(key, other, dist) of all pairs at most ``eps`` apart, both ways round."""
-    return _tiles(rows, key, block, lambda d: np.nonzero(d <= eps)).select(F.col("id").alias(key), "other", "dist")
+    found = tiles(some, some, tile, "id long, other long, dist double", block)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "other", "rank", "dist")
 
 
 def novelty(near: DataFrame, key: str) -> DataFrame:
@@ -124,16 +106,46 @@ def retrieval_purity(near: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return hit.join(share)
 
 
-def dbscan(rows: DataFrame, key: str, eps: float, min_samples: int) -> DataFrame:
-    """Cluster per row, -1 for noise; from all pairs within eps."""
+def dbscan(rows: DataFrame, key: str, eps: float, min_samples: int, block: int = BLOCK) -> DataFrame:
+    """Cluster per row, -1 for noise. No pair leaves a tile: rows' counts do, then core rows' links as a forest of each tile, then
+    the smallest cluster that each other row reaches."""
     from .rounds import components, cut
 
-    near = cut(within(rows, key, eps).select(F.col(key).alias("a"), F.col("other").alias("b")))
-    core = cut(near.groupBy("a").count().filter(F.col("count") + 1 >= min_samples).select(F.col("a").alias("id")))
-    inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    cluster = cut(components(inner, core))
-    border = near.join(cluster.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("reached"))
-    out = rows.select(F.col(key).alias("id")).join(cluster, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
+    data = cut(_finite(rows, key))
+
+    def counts(a, x, b, y):
+        return pd.DataFrame({"id": a["id"].to_numpy(), "n": np.concatenate([near.sum(axis=1) for _, near in close(x, y, eps)])})
+
+    # a row is within eps of itself
+    core = cut(tiles(data, data, counts, "id long, n long", block).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("id"))
+
+    def forest(a, x, b, y):
+        ids, others, label, out = a["id"].to_numpy(), b["id"].to_numpy(), np.arange(len(b)), []
+        for at, near in close(x, y, eps):
+            for r, hit in enumerate(near):
+                j = np.flatnonzero(hit)
+                if not len(j):
+                    continue
+                if (label[j] == label[j[0]]).all():
+                    out.append((ids[at.start + r], others[j[0]]))
+                    continue
+                names, first = np.unique(label[j], return_index=True)
+                out += [(ids[at.start + r], o) for o in others[j[first]]]
+                to = np.arange(len(b))
+                to[names] = names[0]
+                label = to[label]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    dense = cut(data.join(core, "id", "left_semi"))
+    cluster = cut(components(tiles(dense, dense, forest, "a long, b long", block), core))
+
+    def reached(a, x, b, y):
+        names, most = b["component"].to_numpy(), np.iinfo(np.int64).max
+        least = np.concatenate([np.where(near, names, most).min(axis=1) for _, near in close(x, y, eps)])
+        return pd.DataFrame({"id": a["id"].to_numpy()[least < most], "reached": least[least < most]})
+
+    border = tiles(data.join(core, "id", "left_anti"), dense.join(cluster, "id"), reached, "id long, reached long", block).groupBy("id").agg(F.min("reached").alias("reached"))
+    out = rows.select(F.col(key).alias("id")).join(cluster, "id", "left").join(border, "id", "left")
     return out.select(F.col("id").alias(key), F.coalesce("component", "reached", F.lit(-1)).alias("cluster"))
 
 
@@ -185,8 +197,8 @@ def isolation_forest(rows: DataFrame, key: str, trees: int = 128, sample: int =
     """Anomaly score 2^(-mean depth / c(n)). Trees grow apart on hashed samples of about ``sample`` rows; the forest, of bounded size, is broadcast."""
     n = max(1, rows.count())
     share = min(1.0, sample / n)
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    picked = rows.select("x", F.col(key).alias("id"), tree).filter(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    picked = rows.select("x", F.col(key).alias("id"), F.explode(drawn).alias("tree"))
 
     def path(n: float) -> float:
         return 0.0 if n <= 1 else 2 * (np.log(max(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n
