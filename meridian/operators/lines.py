@@ -27,6 +27,8 @@ LIGHT = 299792.458
 FWHM = 2.3548
 #: Width in Angstrom of the cells in which pixels and groups meet.
 CELL = 128.0
+#: Places of peaks that a vote holds at a time.
+MOST_VOTES = 1 << 20
 
 
 def line_groups(redshifts: DataFrame, names: list[str], resolution: float, top: float) -> DataFrame:
@@ -142,21 +144,42 @@ def vote_linear(peaks: DataFrame, lines: list[float], tolerance: float = 6.0, sc
     """(spec_id, scale, offset, hits, misfit): the line through two peaks and two catalog lines that places most peaks within ``tolerance``.
 
     ``peaks`` is (spec_id, centre). Every pair of peaks at least 0.15 of their range apart votes with every pair of lines; equal
-    hits are settled by the smaller summed misfit, then by the earlier pair. A spectrum's pairs are rows of their own, and their hits
-    are counted in the row against the sorted lines, so only one candidate a spectrum and task is shuffled.
+    hits are settled by the smaller summed misfit, then by the earlier pair. A row is a spectrum's first peak of its pairs; the pairs, the
+    lines and the hits are counted in its task, a bounded number at a time, so only one candidate for each first peak leaves it.
     """
-    catalog = F.array(*[F.lit(float(x)) for x in sorted(lines)])
+    catalog = np.sort(np.array(lines, float))
+    pairs = np.array([(a, b) for a in range(len(catalog)) for b in range(a + 1, len(catalog))], int).reshape(-1, 2)
+
+    def votes(peaks: np.ndarray, i: int) -> list[tuple]:
+        """The best candidate of the pairs whose first peak is ``i``, if there is one."""
+        later = np.arange(i + 1, len(peaks))
+        later = later[peaks[later] - peaks[i] >= 0.15 * max(peaks[-1] - peaks[0], 1.0)]
+        best: list[tuple] = []
+        size = max(1, MOST_VOTES // max(1, len(pairs) * len(peaks)))
+        for j in (later[at : at + size] for at in range(0, len(later), size)):
+            scale = (catalog[pairs[:, 1]] - catalog[pairs[:, 0]]) / (peaks[j] - peaks[i])[:, None]
+            r, c = np.nonzero((scale >= scales[0]) & (scale <= scales[1]))
+            if not len(r):
+                continue
+            scale, (a, b), j = scale[r, c], pairs[c].T, j[r]
+            offset = catalog[a] - scale * peaks[i]
+            placed = scale[:, None] * peaks + offset[:, None]
+            right = np.clip(np.searchsorted(catalog, placed), 1, max(1, len(catalog) - 1))
+            away = np.minimum(np.abs(placed - catalog[right - 1]), np.abs(placed - catalog[right]))
+            hits, misfit = (away < tolerance).sum(axis=1), np.where(away < tolerance, away, 0.0).sum(axis=1)
+            top = np.lexsort((b, a, j, np.round(misfit, 9), -hits))[0]
+            best.append((int(-hits[top]), float(misfit[top]), i, int(j[top]), int(a[top]), int(b[top]), float(scale[top]), float(offset[top])))
+        return sorted(best, key=lambda v: (v[0], round(v[1], 9), *v[2:6]))[:1]
+
+    def run(parts):
+        for part in parts:
+            rows = [(s, *v) for s, p, i in zip(part["spec_id"], part["peaks"], part["i"], strict=True) for v in votes(np.asarray(p, float), int(i))]
+            yield pd.DataFrame(rows, columns=["spec_id", "n", "misfit", "i", "j", "a", "b", "scale", "offset"])
+
     listed = peaks.groupBy("spec_id").agg(F.array_sort(F.collect_list("centre")).alias("peaks")).filter(F.size("peaks") >= 2)
-    rows = listed.select("spec_id", "peaks", F.posexplode("peaks").alias("i", "p"))
-    least = 0.15 * F.greatest(F.element_at("peaks", -1) - F.element_at("peaks", 1), F.lit(1.0))
-    rows = rows.select("*", F.posexplode("peaks").alias("j", "q")).filter((F.col("j") > F.col("i")) & (F.col("q") - F.col("p") >= least))
-    rows = rows.repartition(F.col("spec_id"), F.col("i"), F.col("j")).select("*", F.posexplode(catalog).alias("a", "u"))
-    rows = rows.select("*", F.posexplode(catalog).alias("b", "v")).filter("b > a").withColumn("scale", (F.col("v") - F.col("u")) / (F.col("q") - F.col("p")))
-    rows = rows.filter(F.col("scale").between(*scales)).withColumn("offset", F.col("u") - F.col("scale") * F.col("p"))
-    away = F.transform("peaks", lambda p: F.array_min(F.transform(catalog, lambda x: F.abs(F.col("scale") * p + F.col("offset") - x))))
-    close = F.filter(away, lambda d: d < tolerance)
-    rows = rows.withColumn("close", close)
-    misfit = F.aggregate("close", F.lit(0.0), lambda s, d: s + d)
-    rank = F.struct((-F.size("close")).alias("n"), F.round(misfit, 9).alias("misfit"), "i", "j", "a", "b", "scale", "offset")
+    rows = listed.select("spec_id", "peaks", F.explode(F.sequence(F.lit(0), F.size("peaks") - 2)).alias("i")).repartition("spec_id", "i")
+    kind = peaks.schema["spec_id"].dataType.simpleString()
+    rows = rows.mapInPandas(run, f"spec_id {kind}, n int, misfit double, i int, j int, a int, b int, scale double, offset double")
+    rank = F.struct("n", F.round("misfit", 9).alias("misfit"), "i", "j", "a", "b", "scale", "offset")
     best = rows.groupBy("spec_id").agg(F.min(rank).alias("best"))
     return best.select("spec_id", "best.scale", "best.offset", (-F.col("best.n")).cast("int").alias("hits"), "best.misfit")
