@@ -4,23 +4,63 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import horner
 
 
+def _middle(ordered: np.ndarray) -> float:
+    """Median of sorted numbers as Spark takes it, NaN being the largest."""
+    low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+    return low if low == high else 0.5 * low + 0.5 * high
+
+
+def running_median(values: np.ndarray, there: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Medians over 2 half + 1 places of the values that are there, and where such a window has any."""
+    place, ranks = np.flatnonzero(there), np.full(len(values) + 2 * half, len(values), np.int32)
+    order = place[np.argsort(values[place], kind="stable")]
+    ranks[half + order] = np.arange(len(order), dtype=np.int32)
+    ordered = np.append(values[order], np.nan)
+    total = np.concatenate([[0], np.cumsum(there)])
+    at = np.arange(len(values))
+    counts = total[np.minimum(at + half + 1, len(values))] - total[np.maximum(at - half, 0)]
+    out, windows = np.empty(len(values)), np.lib.stride_tricks.sliding_window_view(ranks, 2 * half + 1)
+    for start in range(0, len(values), 1024):
+        part = slice(start, start + 1024)
+        inside, n = np.sort(windows[part], axis=1), counts[part]
+        r = np.arange(len(inside))
+        low, high = (ordered[np.minimum(inside[r, k], len(order))] for k in (np.maximum(n - 1, 0) // 2, n // 2))
+        out[part] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+    return out, counts > 0
+
+
 def continuum(spectra: DataFrame, half: int = 75, rounds: int = 3, sigma: float = 1.5) -> DataFrame:
-    """Running median over 2 half + 1 pixels; pixels above it by ``sigma`` scaled MADs are replaced, round by round."""
-    w = Window.partitionBy("spec_id").orderBy("pix").rowsBetween(-half, half)
-    whole = Window.partitionBy("spec_id")
-    rows = spectra.withColumn("work", F.col("flux"))
-    for _ in range(rounds):
-        rows = rows.withColumn("continuum", F.percentile("work", F.lit(0.5)).over(w))
-        rows = rows.withColumn("away", F.abs(F.col("work") - F.col("continuum")))
-        spread = 1.4826 * F.median("away").over(whole)
-        rows = rows.withColumn("work", F.when(F.col("work") - F.col("continuum") > sigma * spread, F.col("continuum")).otherwise(F.col("work")))
-    return rows.drop("work", "away")
+    """Running median over 2 half + 1 pixels; pixels above it by ``sigma`` scaled MADs are replaced, round by round.
+
+    A spectrum is sorted once and goes through all rounds in its task: medians of sliding windows are ranks, not maps of values.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["pix"], null_placement="at_start"))
+        there = pc.is_valid(table["flux"]).to_numpy()
+        work = table["flux"].cast(pa.float64()).to_numpy().copy()
+        for _ in range(rounds):
+            level, some = running_median(work, there, half)
+            if not there.any():
+                break
+            above = work - level
+            spread = sigma * (1.4826 * _middle(np.sort(np.abs(above[there]))))
+            # as in Spark, NaN is above every number
+            over = there & ((above > spread) | np.isnan(above) & ~np.isnan(spread))
+            work = np.where(over, level, work)
+        return table.append_column("continuum", pa.array(level, pa.float64(), mask=~some))
+
+    schema = StructType([*spectra.schema.fields, StructField("continuum", DoubleType())])
+    return spectra.groupBy("spec_id").applyInArrow(run, schema)
 
 
 def peaks(spectra: DataFrame, sigma: float = 1.0) -> DataFrame:
