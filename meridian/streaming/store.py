@@ -119,7 +119,7 @@ class Store:
             touched = sorted(r[0] for r in rows.select(F.explode("near_")).distinct().limit(MOST_FOLDERS + 1).collect())
             known = self.founders(None if len(touched) > MOST_FOLDERS else touched).select(F.col("object_id").alias("id"), "ra", "dec")
             placed = rows.filter("healpix IS NOT NULL").select(F.col("detection_id").alias("id"), "ra", "dec")
-            links = nearest(sky_pairs(placed, known, self.radius)).select(F.col("a_id").alias("detection_id"), F.col("b_id").alias("known_id"))
+            links = nearest(sky_pairs(placed, known, self.radius, settled=True)).select(F.col("a_id").alias("detection_id"), F.col("b_id").alias("known_id"))
             linked = linked.join(links, "detection_id", "left").withColumn("object_id", F.coalesce("known_id", "object_id")).drop("known_id")
         founds = F.col("object_id") == F.col("detection_id")
         seen = Observation()

@@ -106,3 +106,30 @@ def test_stream_and_odd_fields(spark, monkeypatch):
     assert [r.mjd for r in store.history(1).collect()] == first.mjd.tolist()
     assert [r.flux for r in store.light_curve(1, "g").collect()] == first[first.band == "g"].flux.tolist()
     assert Store(spark, f"{folder}/none").fields().count() == 0
+
+
+def test_equal_distances_go_as_in_sql(spark):
+    """Founders at equal distance by symmetry: the SQL's ninth decimals decide, even where the engines' sines differ in their last bit."""
+    import duckdb
+
+    from meridian.operators.match import nearest, sky_pairs
+    from meridian.plans.queries_scalar import sep_sql
+
+    rng = np.random.default_rng(9)
+    ra, dec = 150 + rng.integers(0, 40, 4000) * 0.01, 2 + rng.integers(0, 2200, 4000) * 0.01
+    a = pd.DataFrame({"id": np.arange(4000), "ra": ra, "dec": dec})
+    b = pd.DataFrame({"id": np.arange(4000) + 4000, "ra": ra + rng.integers(-6, 7, 4000) * 0.00002, "dec": dec + rng.integers(-4, 5, 4000) * 0.00002})
+    want = {(r[0], r[1]): r[2] for r in duckdb.sql(f"SELECT a.id, b.id, 3600 * {sep_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')} FROM a JOIN b ON abs(a.ra - b.ra) < 0.001 AND abs(a.dec - b.dec) < 0.001").fetchall()}
+    left, right = spark.createDataFrame(a), spark.createDataFrame(b)
+    got = {(r.a_id, r.b_id): r.sep for r in sky_pairs(left, right, 1.5, settled=True).collect()}
+    doubtful = {k for k, v in want.items() if v <= 1.5 and abs(v * 1e9 % 1 - 0.5) < 0.05}
+    assert len(doubtful) > 100 and got.keys() == {k for k, v in want.items() if v <= 1.5}
+    assert all(got[k] == want[k] for k in doubtful)
+    plain = {(r.a_id, r.b_id): r.sep for r in sky_pairs(left, right, 1.5).collect()}
+    assert max(abs(plain[k] - want[k]) for k in plain) < 5e-11
+    links = {r.a_id: r.b_id for r in nearest(sky_pairs(left, right, 1.5, settled=True)).collect()}
+    best = {}
+    for (i, j), v in want.items():
+        if v <= 1.5:
+            best[i] = min(best.get(i, (9, 0)), (round(v, 9), j))
+    assert links == {i: j for i, (_, j) in best.items()}
