@@ -26,6 +26,8 @@ FINE, COARSE = 8192, 128
 _SHIFT = 2 * (FINE.bit_length() - COARSE.bit_length())
 #: A field that touches more coarse pixels than this reads all founders instead of a list of folders.
 MOST_FOLDERS = 2000
+#: Side in degrees of the squares in which a field's positions are taken together to find the coarse pixels they touch.
+GRID = 0.01
 #: Ranges of the fine index in a cone's filter.
 MOST_RANGES = 100
 COMMIT = "field_id long, attempt string, number long, name string, band string, mjd double, n_detections long, n_with_sky long, n_matched long, n_new_objects long, manifest string"
@@ -83,18 +85,25 @@ class Store:
 
     # -- ingest -----------------------------------------------------------------------------------------------
     def _placed(self, rows: DataFrame) -> DataFrame:
-        """Rows with their fine pixel and ``near_``, the coarse pixels in which an object near them may lie; numbers that are not finite as null."""
+        """Rows with their fine pixel; numbers that are not finite as null."""
         rows = rows.withColumns({f.name: finite(F.col(f.name)) for f in rows.schema if f.dataType.typeName() in ("double", "float")})
-        reach = 2 * self.radius / 3600
+        has_sky = F.col("ra").isNotNull() & F.col("dec").isNotNull()
+        return rows.withColumn("healpix", F.when(has_sky, healpix(FINE, F.col("ra"), F.col("dec"))))
+
+    def _touched(self, rows: DataFrame) -> DataFrame:
+        """``coarse``: the coarse pixels in which an object near one of the rows may lie, found from the squares of GRID degrees they fall into."""
+        at = lambda c: (F.floor(F.col(c) / GRID) + 0.5) * GRID
+        squares = rows.filter("healpix IS NOT NULL").select(at("ra").alias("ra"), at("dec").alias("dec")).distinct()
+        squares = squares.withColumn("dec", F.least(F.greatest("dec", F.lit(-90.0)), F.lit(90.0)))
+        reach = 2 * (self.radius / 3600 + GRID)
         across = reach / F.greatest(F.cos(F.radians("dec")), F.lit(1e-6))
         point = lambda ra, dec: F.struct(ra.alias("ra"), dec.alias("dec"))
         corners = [point(F.col("ra") + i * across, F.least(F.greatest(F.col("dec") + j * reach, F.lit(-90.0)), F.lit(90.0))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         # a circle about a pole passes through all of its quarters
         quarters = [point(F.col("ra") + t, F.col("dec")) for t in (0.0, 90.0, 180.0, 270.0)]
         around = F.when(F.abs("dec") + 2 * reach >= 90, F.array(*corners, *quarters)).otherwise(F.array(*corners))
-        has_sky = F.col("ra").isNotNull() & F.col("dec").isNotNull()
-        near = F.array_distinct(F.transform(around, lambda at: healpix(COARSE, at["ra"], at["dec"])))
-        return rows.withColumns({"healpix": F.when(has_sky, healpix(FINE, F.col("ra"), F.col("dec"))), "near_": F.when(has_sky, near)})
+        points = squares.select(F.explode(around).alias("p")).select("p.ra", "p.dec")
+        return points.select(healpix(COARSE, F.col("ra"), F.col("dec")).alias("coarse")).distinct()
 
     def ingest(self, rows: DataFrame, field_id: int, mjd: float | None = None, band: str | None = None, name: str | None = None, manifest: dict | None = None, associate: bool = True) -> dict | None:
         """Store one field's rows (detection_id, ra, dec, ...) and link them; the field's report, None if it was there before.
@@ -113,14 +122,15 @@ class Store:
         attempt = uuid.uuid4().hex
         place = f"{self.path}/detections/field_id={field_id}/attempt={attempt}"
         own = F.when(F.col("healpix").isNotNull(), F.col("detection_id")) if associate else F.lit(None).cast("long")
-        linked = rows.drop("near_").withColumn("object_id", own)
+        linked = rows.withColumn("object_id", own)
         if associate and self._has("founders"):
             # at most MOST_FOLDERS pixels come to the driver
-            touched = sorted(r[0] for r in rows.select(F.explode("near_")).distinct().limit(MOST_FOLDERS + 1).collect())
+            touched = sorted(r[0] for r in self._touched(rows).limit(MOST_FOLDERS + 1).collect())
             known = self.founders(None if len(touched) > MOST_FOLDERS else touched).select(F.col("object_id").alias("id"), "ra", "dec")
             placed = rows.filter("healpix IS NOT NULL").select(F.col("detection_id").alias("id"), "ra", "dec")
-            links = nearest(sky_pairs(placed, known, self.radius, settled=True)).select(F.col("a_id").alias("detection_id"), F.col("b_id").alias("known_id"))
-            linked = linked.join(links, "detection_id", "left").withColumn("object_id", F.coalesce("known_id", "object_id")).drop("known_id")
+            # both sides grow with the field and the sky, so none of them is broadcast
+            links = nearest(sky_pairs(placed, known.hint("merge"), self.radius, settled=True)).select(F.col("a_id").alias("detection_id"), F.col("b_id").alias("known_id"))
+            linked = linked.join(links.hint("merge"), "detection_id", "left").withColumn("object_id", F.coalesce("known_id", "object_id")).drop("known_id")
         founds = F.col("object_id") == F.col("detection_id")
         seen = Observation()
         linked = linked.observe(
@@ -170,7 +180,7 @@ class Store:
         per_band = seen.groupBy("object_id", "band").agg(F.count("*").alias("n"), F.min("mjd").alias("first"), F.max("mjd").alias("last"), F.min("number").alias("number"))
         bands = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("band").isNotNull(), F.struct("number", "band")))), lambda b: b["band"]), ",")
         whole = per_band.groupBy("object_id").agg(F.sum("n").alias("n_detections"), F.min("first").alias("first_mjd"), F.max("last").alias("last_mjd"), bands.alias("bands"))
-        return self.founders().withColumnRenamed("field_id", "founded_by").join(whole, "object_id").select("object_id", "ra", "dec", "healpix", *whole.columns[1:], "founded_by")
+        return self.founders().withColumnRenamed("field_id", "founded_by").join(whole.hint("merge"), "object_id").select("object_id", "ra", "dec", "healpix", *whole.columns[1:], "founded_by")
 
     def history(self, object_id: int) -> DataFrame:
         """Every detection of an object with its field's name, in time order."""
