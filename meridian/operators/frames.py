@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,14 +49,91 @@ def near_pixels(sources: DataFrame, pixels: DataFrame, frame: str, reach: float,
     return p.join(s, [frame, "cx", "cy"]).filter((F.abs(F.col("x") - F.col("sx")) <= reach) & (F.abs(F.col("y") - F.col("sy")) <= reach)).drop("cx", "cy")
 
 
+def by_cells(sources: DataFrame, pixels: DataFrame, frame: str, reach: float, stage, schema: str, size: float = 32.0, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``stage`` (arrays sx, sy of a few sources, then x, y, value, rms of their pixels, then ``extra`` columns of the sources; a tuple of arrays in the order of ``schema``) of (source_id, frame, sx, sy).
+
+    A source goes to the cell of its frame that holds it, a pixel to every cell it can reach, so no row of a source and a pixel is made;
+    a stage has at most a few million of them at once. Pixels without a value do not count.
+    """
+
+    def cells(c: str):
+        return F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
+
+    s = sources.select("source_id", frame, "sx", "sy", *extra).withColumns({"cx": F.floor(F.col("sx") / size), "cy": F.floor(F.col("sy") / size)})
+    kept = pixels.filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col(frame).isNotNull())
+    p = kept.select(frame, "x", "y", "value", F.col("rms") if "rms" in pixels.columns else F.lit(None).cast("double").alias("rms"))
+    p = p.withColumn("cx", cells("x")).withColumn("cy", cells("y"))
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        light, parts = [near[c].to_numpy(float) for c in ("x", "y", "value", "rms")], []
+        step = max(1, 2_000_000 // max(1, len(near)))
+        for i in range(0, len(mine), step):
+            some = mine.iloc[i : i + step]
+            got = stage(some["sx"].to_numpy(float), some["sy"].to_numpy(float), *light, *[some[c].to_numpy(float) for c in extra])
+            parts.append(some[["source_id", frame]].assign(**dict(zip(names, got, strict=True))))
+        return pd.concat(parts) if parts else mine[["source_id", frame]].reindex(columns=["source_id", frame, *names])
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sources.select("source_id", frame).schema)
+    key = [frame, "cx", "cy"]
+    return s.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(run, f"{keys}, {schema}")
+
+
+def _gathered(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Each row's values where the mask holds, from the left, then infinities."""
+    out = np.full((len(mask), max(1, int(mask.sum(axis=1).max(initial=0)))), np.inf)
+    row, column = np.nonzero(mask)
+    start = np.concatenate(([0], np.cumsum(mask.sum(axis=1))[:-1])) if len(mask) else np.zeros(0, int)
+    out[row, np.arange(len(row)) - start[row]] = values[column]
+    return out
+
+
+def _middle(rows: np.ndarray) -> np.ndarray:
+    """Medians of sorted rows that end in infinities; NaN of an empty one."""
+    n = np.isfinite(rows).sum(axis=1)
+    at = np.arange(len(rows))
+    return np.where(n > 0, 0.5 * rows[at, np.maximum(n - 1, 0) // 2] + 0.5 * rows[at, np.minimum(n // 2, rows.shape[1] - 1)], np.nan)
+
+
+def ring_sky(sx, sy, x, y, value, inner: float, outer: float, sigma: float = 3.0, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median, deviation and count of each source's ring after ``pixels.sigma_clip``; zeros below five pixels."""
+    r = np.hypot(x - sx[:, None], y - sy[:, None])
+    rows = np.sort(_gathered((r >= inner) & (r < outer), value), axis=1)
+    live = np.arange(len(rows))
+    for _ in range(rounds):
+        now = rows[live]
+        known, middle = np.isfinite(now), _middle(now)
+        with np.errstate(invalid="ignore"):
+            off = np.where(known, np.abs(now - middle[:, None]), np.inf)
+        spread = 1.4826 * _middle(np.sort(off, axis=1))
+        zero = ~(spread > 0)
+        spread[zero] = _deviation(now[zero])
+        with np.errstate(invalid="ignore"):
+            keep = known & ((off <= sigma * spread[:, None]) | (spread == 0)[:, None])
+        changed = (keep != known).any(axis=1)
+        rows[live[changed]] = np.sort(np.where(keep, now, np.inf)[changed], axis=1)
+        live = live[changed]
+        if not len(live):
+            break
+    n = np.isfinite(rows).sum(axis=1)
+    enough = n >= 5
+    return np.where(enough, _middle(rows), 0.0), np.where(enough, _deviation(rows), 0.0), np.where(enough, n, 0)
+
+
+def _deviation(rows: np.ndarray) -> np.ndarray:
+    known = np.isfinite(rows)
+    n = np.maximum(known.sum(axis=1), 1)
+    mean = np.where(known, rows, 0.0).sum(axis=1) / n
+    return np.sqrt((np.where(known, rows - mean[:, None], 0.0) ** 2).sum(axis=1) / n)
+
+
 def annulus_background(sources: DataFrame, pixels: DataFrame, frame: str, inner: float, outer: float) -> DataFrame:
     """Clipped median, deviation and count of the pixels in a ring around each source; zeros below five pixels."""
-    r = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    ring = near_pixels(sources, pixels, frame, outer).filter((r >= inner) & (r < outer))
-    got = clipped_statistics(ring, ["source_id", frame])
-    got = sources.select("source_id", frame).join(got, ["source_id", frame], "left")
-    enough = F.coalesce("kept", F.lit(0)) >= 5
-    return got.select("source_id", frame, *[F.when(enough, F.col(c)).otherwise(0.0).alias(n) for c, n in (("median", "level"), ("std", "rms"))], F.when(enough, F.col("kept")).otherwise(0).alias("n"))
+
+    def stage(sx, sy, x, y, value, rms):
+        return ring_sky(sx, sy, x, y, value, inner, outer)
+
+    return by_cells(sources, pixels, frame, outer, stage, "level double, rms double, n long")
 
 
 def flux_scale(science: DataFrame, reference: DataFrame, frame: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,17 @@ def coverage(radius: float) -> Column:
     return F.when(far <= radius - 0.8, 1.0).when(far >= radius + 0.8, 0.0).otherwise(hits)
 
 
+def covered(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, radius) -> np.ndarray:
+    """``coverage`` of arrays: the share of each pixel (a column) within a radius of each source (a row)."""
+    sx, sy = sx[:, None], sy[:, None]
+    far = np.hypot(x - sx, y - sy)
+    out, edge = (far <= radius - 0.8).astype(float), np.nonzero((far > radius - 0.8) & (far < radius + 0.8))
+    u, v, limit = x[edge[1]], y[edge[1]], np.broadcast_to(radius**2, far.shape)[edge]
+    across, down = [[(c + (i - 2) / 5.0 - s[edge[0], 0]) ** 2 for i in range(5)] for c, s in ((u, sx), (v, sy))]
+    out[edge] = sum(((a + b) <= limit).astype(float) for a in across for b in down) / 25
+    return out
+
+
 def apertures(sources: DataFrame, pixels: DataFrame, key: str, radius: float, size: float = 8.0) -> DataFrame:
     """Sub-pixel aperture sums per source and frame: sources and pixels meet in cells, edge pixels are split 5 x 5."""
     reach = radius + 1

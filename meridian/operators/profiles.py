@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import sersic_b
-from .frames import annulus_background, near_pixels, petrosian_radius
-from .pixels import coverage
+from .frames import by_cells, petrosian_radius, ring_sky
+from .pixels import covered
 
 
 def growth_curve(pixels: DataFrame, frame: str, cx: float, cy: float, most: float, steps: int = 30, parts: int = 4) -> DataFrame:
@@ -77,12 +78,14 @@ def sersic_scan(profile: DataFrame, frame: str, trials: list[float] | None = Non
 
 def aperture_fluxes(sources: DataFrame, pixels: DataFrame, frame: str, radius: float, inner: float, outer: float) -> DataFrame:
     """Sky-subtracted flux, error and area of each source (source_id, frame, sx, sy) in its own frame; the sky is the clipped median of a ring."""
-    near = near_pixels(sources, pixels, frame, radius + 1).withColumn("w", coverage(radius))
-    sums = near.filter("w > 0").groupBy("source_id", frame).agg(F.sum(F.col("w") * F.col("value")).alias("flux"), F.sum(F.col("w") * F.col("rms") ** 2).alias("var"), F.sum("w").alias("area"))
-    sky = annulus_background(sources, pixels, frame, inner, outer)
+
+    def stage(sx, sy, x, y, value, rms):
+        w = covered(x, y, sx, sy, radius)
+        return w @ value, w @ np.nan_to_num(rms * rms), w.sum(axis=1), *ring_sky(sx, sy, x, y, value, inner, outer)
+
+    sums = by_cells(sources, pixels, frame, max(radius + 1, outer), stage, "flux double, var double, area double, level double, level_rms double, n long").filter("area > 0")
     spread = F.when(F.col("n") > 0, F.col("area") ** 2 * F.col("level_rms") ** 2 / F.col("n")).otherwise(0.0)
-    out = sums.join(sky.withColumnRenamed("rms", "level_rms"), ["source_id", frame])
-    return out.select("source_id", frame, (F.col("flux") - F.col("area") * F.col("level")).alias("flux"), F.sqrt(F.col("var") + spread).alias("flux_err"), "area")
+    return sums.select("source_id", frame, (F.col("flux") - F.col("area") * F.col("level")).alias("flux"), F.sqrt(F.col("var") + spread).alias("flux_err"), "area")
 
 
 def per_tile(pixels: DataFrame, frame: str, tile: int, overlap: int, stage, schema: str) -> DataFrame:
