@@ -53,7 +53,7 @@ def by_cells(sources: DataFrame, pixels: DataFrame, frame: str, reach: float, st
     """``stage`` (arrays sx, sy of a few sources, then x, y, value, rms of their pixels, then ``extra`` columns of the sources; a tuple of arrays in the order of ``schema``) of (source_id, frame, sx, sy).
 
     A source goes to the cell of its frame that holds it, a pixel to every cell it can reach, so no row of a source and a pixel is made;
-    a stage has at most a few million of them at once. Pixels without a value do not count.
+    a stage has at most about 200,000 of them at once, or one source's. Pixels without a value do not count.
     """
 
     def cells(c: str):
@@ -67,7 +67,7 @@ def by_cells(sources: DataFrame, pixels: DataFrame, frame: str, reach: float, st
 
     def run(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         light, parts = [near[c].to_numpy(float) for c in ("x", "y", "value", "rms")], []
-        step = max(1, 2_000_000 // max(1, len(near)))
+        step = max(1, 200_000 // max(1, len(near)))
         for i in range(0, len(mine), step):
             some = mine.iloc[i : i + step]
             got = stage(some["sx"].to_numpy(float), some["sy"].to_numpy(float), *light, *[some[c].to_numpy(float) for c in extra])
@@ -75,7 +75,10 @@ def by_cells(sources: DataFrame, pixels: DataFrame, frame: str, reach: float, st
         return pd.concat(parts) if parts else mine[["source_id", frame]].reindex(columns=["source_id", frame, *names])
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sources.select("source_id", frame).schema)
-    key = [frame, "cx", "cy"]
+    key, spark = [frame, "cx", "cy"], sources.sparkSession
+    # few bytes are much work here, and a given number of partitions is not coalesced
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    s, p = s.repartition(n, *key), p.repartition(n, *key)
     return s.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(run, f"{keys}, {schema}")
 
 
